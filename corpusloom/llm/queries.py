@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import line_dedup, shard_packing
+from corpusloom.llm import decontaminate, line_dedup, shard_packing
 
 QUERIES = {
+    "op7_decontaminate": decontaminate.query,
     "op8_shard_packing": shard_packing.query,
     "op10_line_dedup": line_dedup.query,
 }
 
 ORACLES = {
+    "op7_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
