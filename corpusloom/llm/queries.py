@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, line_dedup, shard_packing
+from corpusloom.llm import decontaminate, line_dedup, quality, shard_packing
 
 QUERIES = {
+    "op4_quality_classifier": quality.query,
     "op7_decontaminate": decontaminate.query,
     "op8_shard_packing": shard_packing.query,
     "op10_line_dedup": line_dedup.query,
