@@ -67,18 +67,19 @@ NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers: list[np.ndarray] = []
+#: Two odd bases for polynomial hashes modulo 2 ** 64.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
-        up, down = np.full(size, _P), np.full(size, _P_INV)
+def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        size = max(n + (n >> 3), 1 << 20)
+        up, down = np.full(size, np.uint64(_BASES[which])), np.full(size, np.uint64(pow(_BASES[which], -1, 1 << 64)))
         up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0][:n], _powers[1]
+        _powers[which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[which][0][:n], _powers[which][1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -107,8 +108,9 @@ class Words:
         self.at = np.concatenate(([1], 1 + np.cumsum(lengths)))
         self.first = np.searchsorted(self.starts, self.at)
 
-    def hashes(self) -> np.ndarray:
-        up, down = _power_tables(len(self.buf))
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word; ``second``: another one, independent of the first."""
+        up, down = _power_tables(len(self.buf), int(second))
         total = np.empty(len(self.buf) + 1, dtype=np.uint64)
         total[0] = 0
         np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
@@ -172,3 +174,42 @@ def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     log2_size = len(bitmap).bit_length() - 1 + 6
     slot = hashes >> np.uint64(64 - log2_size)
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+class HashTable:
+    """Numbers 0, 1, 2, ... for 64-bit keys (with a second key to tell equal ones apart), looked up many at a time."""
+
+    def __init__(self, log2_slots: int):
+        self.shift = np.uint64(64 - log2_slots)
+        self.mask = (1 << log2_slots) - 1
+        self.key = np.zeros(1 << log2_slots, dtype=np.uint64)
+        self.check = np.zeros(1 << log2_slots, dtype=np.uint64)
+        self.number = np.full(1 << log2_slots, -1, dtype=np.int32)
+        self.n = 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for none."""
+        slot = (key >> self.shift).astype(np.int64)
+        out = self.number[slot]
+        open_ = np.flatnonzero((out >= 0) & ((self.key[slot] != key) | (self.check[slot] != check)))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & self.mask
+            found = self.number[slot]
+            out[open_] = found
+            more = (found >= 0) & ((self.key[slot] != key[open_]) | (self.check[slot] != check[open_]))
+            open_, slot = open_[more], slot[more]
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray) -> None:
+        """Keys that are new and differ from each other; they get the next numbers in order."""
+        number = np.arange(self.n, self.n + len(key), dtype=np.int32)
+        self.n += len(key)
+        slot = (key >> self.shift).astype(np.int64)
+        while len(key):
+            free = self.number[slot] < 0
+            self.number[slot[free]] = number[free]
+            mine = self.number[slot] == number
+            self.key[slot[mine]], self.check[slot[mine]] = key[mine], check[mine]
+            rest = ~mine
+            key, check, number, slot = key[rest], check[rest], number[rest], (slot[rest] + 1) & self.mask

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, line_dedup, quality, shard_packing
+from corpusloom.llm import decontaminate, line_dedup, quality, shard_packing, token_parquet
 
 QUERIES = {
+    "op1_token_parquet": token_parquet.query,
     "op4_quality_classifier": quality.query,
     "op7_decontaminate": decontaminate.query,
     "op8_shard_packing": shard_packing.query,
