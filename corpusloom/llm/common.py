@@ -163,8 +163,8 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
 
 def bits(df: DataFrame, column: str, log2_size: int) -> np.ndarray:
     """A bitmap of fixed size that marks ``column``'s 64-bit hashes by their top bits: set for every one that is in ``df``."""
-    slot = F.shiftrightunsigned(F.col(column), 64 - log2_size)
-    words = df.select((F.shiftright(slot, 6)).alias("w"), F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    slots = df.select(F.shiftrightunsigned(F.col(column), 64 - log2_size).alias("slot"))
+    words = slots.selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, cast(slot % 64 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (log2_size - 6), dtype=np.uint64)
     out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out

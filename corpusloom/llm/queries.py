@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, line_dedup, quality, shard_packing, token_parquet
+from corpusloom.llm import decontaminate, line_dedup, ngram_jaccard, quality, shard_packing, token_parquet
 
 QUERIES = {
     "op1_token_parquet": token_parquet.query,
+    "op3_ngram_jaccard": ngram_jaccard.query,
     "op4_quality_classifier": quality.query,
     "op7_decontaminate": decontaminate.query,
     "op8_shard_packing": shard_packing.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_ngram_jaccard": ngram_jaccard.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
