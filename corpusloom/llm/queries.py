@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat_format, decontaminate, line_dedup, ngram_jaccard, quality, shard_packing, token_parquet
+from corpusloom.llm import chat_format, decontaminate, line_dedup, media_columns, ngram_jaccard, quality, shard_packing, token_parquet
 
 QUERIES = {
     "op1_token_parquet": token_parquet.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_chat_format": chat_format.query,
     "op7_decontaminate": decontaminate.query,
     "op8_shard_packing": shard_packing.query,
+    "op9_media_columns": media_columns.query,
     "op10_line_dedup": line_dedup.query,
 }
 
