@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat_format, decontaminate, line_dedup, media_columns, ngram_jaccard, quality, shard_packing, token_parquet
+from corpusloom.llm import chat_format, decontaminate, katz_lm, line_dedup, media_columns, ngram_jaccard, quality, shard_packing, token_parquet
 
 QUERIES = {
     "op1_token_parquet": token_parquet.query,
     "op3_ngram_jaccard": ngram_jaccard.query,
     "op4_quality_classifier": quality.query,
+    "op5_katz_lm": katz_lm.query,
     "op6_chat_format": chat_format.query,
     "op7_decontaminate": decontaminate.query,
     "op8_shard_packing": shard_packing.query,
