@@ -1,21 +1,20 @@
 """N-gram Jaccard join: a blocked sparse matrix product of documents by their word 5-grams.
 
 Rows of the matrix are the distinct shingle sets (documents with equal sets are one row with a weight), columns are
-shingles. What is multiplied is cut down without losing a link, then multiplied in blocks:
-
-1. One pass over the texts gives each document its set's size and digest and the set's *prefix*: of a set of n, the
-   n - ceil(t * n) + 1 shingles that come first in one fixed order. Two sets of similarity t or more share a shingle
-   within both prefixes; all other entries of the matrix are dropped from the search.
-   The order is by hash, but shingles that very many prefixes hold (at most ``COMMON`` of them, found by counting all
-   prefixes) come last. Any order is exact; this one keeps a passage that thousands of documents share from joining them.
-2. Rows that share a prefix shingle make candidate clusters: each shingle ties its rows to its smallest row, never to
-   each other, and connected components gather them.
-3. Clusters are cut into blocks of at most ``BLOCK`` shingles and the product is taken for each pair of blocks of one cluster:
-   overlap counts accumulate over tiles of columns, and pairs whose sizes alone rule out the threshold, or whose counts
-   stay below the bound, are discarded. A task returns a row's number of links and its smallest linked representative
-   - rows, never pairs. Components of those give the result.
-
-Hashes of words and shingles have 64 bits; a set is named by 64 bits over its hashes.
+shingles. Entries that cannot matter are dropped before anything is multiplied, and no link is lost:
+
+1. One pass over the texts gives each document its set's size and a name for the set (64 bits over its hashes).
+2. The incidence is dealt by shingle, in ``ROUNDS`` parts of the hash space, one after another. Columns with one row go. A row of
+   n shingles that shares fewer than t * n with any other row goes as well: it can reach similarity t with none. This leaves
+   near copies, not documents that merely share a passage.
+3. In an order of columns by their counts, then hashes, two rows of similarity t or more share a column within both their
+   prefixes, the first n - ceil(t * n) + 1 shingles; those that one row alone holds come first and are counted, not kept. Each column
+   ties the rows whose prefixes hold it to the smallest of them, never to each other; connected components of these
+   ties are the candidate clusters.
+4. Clusters are cut, by set size, into blocks of at most ``BLOCK`` shingles, and the product is taken for each pair of blocks of one
+   cluster whose sizes are near enough: overlap counts accumulate over tiles of columns, and pairs whose sizes alone rule out
+   the threshold, or whose counts stay below the bound, are discarded. A task returns for each row its number of links and
+   the smallest row that it reaches in the block - rows, never pairs. Components of those give the result.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing, and are their own component; rows
 that repeat a doc_id with the same text are in one component and counted as links of each other; a null doc_id takes
@@ -38,15 +37,13 @@ from corpusloom.llm.components import connected_components
 WORDS_A_SHINGLE = 5
 #: Two sets link when PER_CENT * union <= 100 * intersection.
 PER_CENT = 75
-#: Shingles that this many prefixes hold are common ...
-OFTEN = 64
-#: ... but at most so many of them are told to every task (8 bytes each).
-COMMON = 500_000
+#: Parts of the hash space that the incidence is dealt in; each needs that part of the disk.
+ROUNDS = 2
 #: Shingles in a block of rows.
 BLOCK = 1 << 20
 #: Columns in a tile of the product, rows in a strip.
 TILE, STRIP = 4096, 1024
-#: Bits, as a power of two, of the map of clustered rows that is told to every task.
+#: Bits, as a power of two, of the map of sets with several documents, which goes to every task.
 MAP_BITS = 24
 CHUNK = 1 << 20
 
@@ -80,12 +77,8 @@ def set_names(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(hashes[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else 0 for a, b in zip(first[:-1], first[1:], strict=True)], dtype=np.int64)
 
 
-def prefix_size(n: int, per_cent: int = PER_CENT) -> int:
-    return n - -(-per_cent * n // 100) + 1
-
-
 def _per_text(docs: DataFrame, columns: str, make) -> DataFrame:
-    """mapInArrow over (doc_id, text): ``make(sets, names, first, doc_ids)`` gives the columns of a batch."""
+    """mapInArrow over (doc_id, text): ``make(hashes, first, names, doc_ids)`` gives the columns of a run of texts."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,66 +86,62 @@ def _per_text(docs: DataFrame, columns: str, make) -> DataFrame:
             texts = as_bytes(batch.column(1))
             for begin, end in chunks(texts, CHUNK):
                 hashes, first = shingle_sets(texts[begin:end])
-                columns = make(hashes, first, set_names(hashes, first), batch.column(0).slice(begin, end - begin))
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+                made = make(hashes, first, set_names(hashes, first), batch.column(0).slice(begin, end - begin))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in made], names=names)
 
     return docs.mapInArrow(run, columns)
 
 
-def _lists(pieces: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, pieces)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(pieces) if pieces else np.zeros(0, np.uint64))))
-
-
-def sets_of(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, name, n, prefix (by hash alone)."""
+def sets_of(docs: DataFrame) -> DataFrame:
+    """doc_id, name, n: which set each document has, and its size."""
+    return _per_text(docs, "doc_id long, name long, n long", lambda hashes, first, names, ids: (ids, names, np.diff(first)))
 
-    def make(hashes, first, names, ids):
-        sizes = np.diff(first)
-        return ids, names, sizes, _lists([hashes[a : a + (prefix_size(n, per_cent) if n else 0)] for a, n in zip(first[:-1].tolist(), sizes.tolist(), strict=True)])
 
-    return _per_text(docs, "doc_id long, name long, n long, prefix array<long>", make)
+def incidence(docs: DataFrame, several, part: int, parts: int) -> DataFrame:
+    """name, h: the shingles of each set in one part of the hash space, once a set.
 
+    ``several`` (a broadcast bitmap) marks the sets that more than one document has: those are gathered by name first.
+    """
 
-def ordered_prefixes(docs: DataFrame, common: np.ndarray, per_cent: int = PER_CENT) -> DataFrame:
-    """name, prefix with common shingles last; only of sets whose prefix by hash alone holds a common one."""
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+    def rows(of_several: bool) -> DataFrame:
+        def make(hashes, first, names, _):
+            mine = np.flatnonzero((marked(several.value, names.view(np.uint64)) == of_several) & (np.diff(first) > 0))
+            mine = mine[np.unique(names[mine], return_index=True)[1]]
+            lists = [x[x % np.uint64(parts) == part] for x in (hashes[first[i] : first[i + 1]] for i in mine.tolist())]
+            ends = np.cumsum([0, *map(len, lists)])
+            return names[mine], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(lists) if lists else np.zeros(0, np.uint64))))
 
-    def make(hashes, first, names, _):
-        known, some, out = sent.value, [], []
-        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        often = known[place] == hashes
-        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            if b > a and often[a : a + (p := prefix_size(b - a, per_cent))].any():
-                mine, late = hashes[a:b], often[a:b]
-                some.append(names[i])
-                out.append(np.concatenate((mine[~late], mine[late]))[:p])
-        return np.array(some, dtype=np.int64), _lists(out)
+        return _per_text(docs, "name long, hashes array<long>", make)
 
-    return _per_text(docs, "name long, prefix array<long>", make)
+    return rows(False).unionByName(rows(True).groupBy("name").agg(F.first("hashes").alias("hashes"))).select("name", F.explode("hashes").alias("h"))
 
 
-def candidate_edges(docs: DataFrame, sets: DataFrame, per_cent: int = PER_CENT, often: int = OFTEN) -> DataFrame:
+def shared_incidence(docs: DataFrame, sets: DataFrame, base: str, per_cent: int = PER_CENT, rounds: int = ROUNDS) -> DataFrame:
+    """name, n, own (shingles that no other set has), shared (the others as (count, hash), in order): of the sets that may have a link."""
+    spark = docs.sparkSession
+    sizes = sets.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("weight"))
+    several = spark.sparkContext.broadcast(bits(sizes.where("weight > 1"), "name", MAP_BITS))
+    parts = []
+    for r in range(rounds):
+        rows = incidence(docs, several, r, rounds).withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("times > 1")
+        parts.append(stored(rows, f"{base}/shared-{r}"))
+        dropped(spark)
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    enough = rows.groupBy("name").count().join(sizes.select("name", "n"), "name").where(F.col("count") * 100 >= F.col("n") * per_cent).select("name", "n")
+    lists = rows.join(enough, "name").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("shared"))
+    out = stored(lists.withColumn("own", F.col("n") - F.size("shared")), f"{base}/shared")
+    dropped(spark, *(f"{base}/shared-{r}" for r in range(rounds)))
+    return out
+
+
+def candidate_edges(shared: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """a, b: sets (by name) that share a shingle within both prefixes, each tied to the smallest set that does."""
-    rows = sets.where("n > 0").select("name", F.explode("prefix").alias("h"))
-    counts = rows.groupBy("h").count().where(F.col("count") >= often)
-    listed = counts.agg(F.count(F.lit(1))).first()[0]
-    if listed > COMMON:  # the most frequent ones, by a count from which on there are few enough
-        steps = counts.groupBy(F.floor(F.log2("count") * 8).alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()  # some hundred rows at most
-        total, least = 0, None
-        for s in steps:
-            total += s["n"]
-            if total > COMMON:
-                break
-            least = s["step"]
-        counts = counts.where(F.floor(F.log2("count") * 8) >= least) if least is not None else counts.where(F.lit(False))
-    common = np.sort(counts.select("h").toArrow()["h"].to_numpy().view(np.uint64))
-    if len(common):
-        last = ordered_prefixes(docs, common, per_cent).dropDuplicates(["name"])
-        changed = last.select("name")
-        rows = rows.join(changed, "name", "left_anti").unionByName(last.select("name", F.explode("prefix").alias("h")))
+    size = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1 - F.col("own")
+    rows = shared.select("name", F.explode(F.slice("shared.h", F.lit(1), F.greatest(size, F.lit(0)).cast("int"))).alias("h"))
     least = F.first("name").over(Window.partitionBy("h").orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("h", "name").withColumn("least", least).where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")).distinct()
+    return rows.withColumn("least", least).where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -168,14 +157,14 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def linked_rows(sizes: np.ndarray, hashes: np.ndarray, split: int | None, weights: np.ndarray, per_cent: int = PER_CENT) -> tuple[np.ndarray, np.ndarray]:
+def linked_rows(sizes: np.ndarray, counts: np.ndarray, hashes: np.ndarray, split: int | None, weights: np.ndarray, per_cent: int = PER_CENT) -> tuple[np.ndarray, np.ndarray]:
     """(summed weights of the rows that each row links with, smallest row that each reaches by these links).
 
-    Row i holds ``sizes[i]`` of ``hashes``, one row after another. With ``split``, only rows before it are multiplied with rows
+    Row i is a set of ``sizes[i]`` shingles, of which it lists ``counts[i]`` of ``hashes``, one row after another. With ``split``, only rows before it are multiplied with rows
     from it on. Columns that only one row holds cannot count towards an overlap and are left out.
     """
     n = len(sizes)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), counts)
     _, code, times = np.unique(hashes, return_inverse=True, return_counts=True)
     useful = (times > 1)[code]
     row, col, width = owner[useful], (np.cumsum(times > 1) - 1)[code[useful]], int((times > 1).sum())
@@ -215,7 +204,7 @@ def linked_rows(sizes: np.ndarray, hashes: np.ndarray, split: int | None, weight
 
 
 def _products(rows: DataFrame, per_cent: int) -> DataFrame:
-    """name, root, links: of rows (cluster, i, j, block, name, weight, hashes), each (cluster, i, j) multiplied on its own."""
+    """name, root, links: of rows (cluster, i, j, block, name, n, weight, hashes), each (cluster, i, j) multiplied on its own."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -228,7 +217,7 @@ def _products(rows: DataFrame, per_cent: int) -> DataFrame:
             hashes = lists.values.to_numpy()[at[0] : at[-1]].view(np.uint64)
             blocks, names = t.column("block").to_numpy(), t.column("name").to_numpy()
             split = None if held_key[1] == held_key[2] else int(np.searchsorted(blocks, held_key[2]))
-            links, parent = linked_rows(np.diff(at).astype(np.int64), hashes, split, t.column("weight").to_numpy().astype(float), per_cent)
+            links, parent = linked_rows(t.column("n").to_numpy(), np.diff(at), hashes, split, t.column("weight").to_numpy().astype(float), per_cent)
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[parent]), pa.array(links.astype(np.int64))], names=["name", "root", "links"])
 
         for batch in batches:
@@ -247,11 +236,11 @@ def _products(rows: DataFrame, per_cent: int) -> DataFrame:
             yield done()
 
     by = ["cluster", "i", "j"]
-    ordered = rows.repartition(*by).sortWithinPartitions(*by, "block", "name").select(*by, "block", "name", "weight", "hashes")
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, "block", "name").select(*by, "block", "name", "n", "weight", "hashes")
     return ordered.mapInArrow(solve, "name long, root long, links long")
 
 
-def link(docs: DataFrame, per_cent: int = PER_CENT, often: int = OFTEN, block: int = BLOCK) -> DataFrame:
+def link(docs: DataFrame, per_cent: int = PER_CENT, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: a row for each row of ``docs``.
 
     component_id is the smallest doc_id that the row's links reach, itself included; n_links counts the other rows that it links with.
@@ -259,8 +248,9 @@ def link(docs: DataFrame, per_cent: int = PER_CENT, often: int = OFTEN, block: i
     spark = docs.sparkSession
     base = shared_dir(spark, "jaccard")
     docs = clean_select(docs, doc_id="long", text="string")
-    sets = stored(sets_of(docs, per_cent), f"{base}/sets")
-    edges = stored(candidate_edges(docs, sets, per_cent, often), f"{base}/edges")
+    sets = stored(sets_of(docs), f"{base}/sets")
+    shared = shared_incidence(docs, sets, base, per_cent, rounds)
+    edges = stored(candidate_edges(shared, per_cent), f"{base}/edges")
     clusters = connected_components(edges, f"{base}/candidates").select(F.col("node").alias("name"), F.col("root").alias("cluster"))
     sizes = sets.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"))
     by_size = Window.partitionBy("cluster").orderBy("n", "name").rowsBetween(Window.unboundedPreceding, 0)
@@ -272,16 +262,7 @@ def link(docs: DataFrame, per_cent: int = PER_CENT, often: int = OFTEN, block: i
     pairs = left.join(right, "cluster").where((F.col("block_i") <= F.col("block_j")) & (F.col("large_i") * 100 >= F.col("small_j") * per_cent))
     pairs = pairs.select("cluster", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
     places = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    wanted = spark.sparkContext.broadcast(bits(members, "name", MAP_BITS))
-
-    def make(hashes, first, names, _):
-        mine = np.flatnonzero(marked(wanted.value, names.view(np.uint64)) & (np.diff(first) > 0))
-        mine = mine[np.unique(names[mine], return_index=True)[1]]
-        return names[mine], _lists([hashes[first[i] : first[i + 1]] for i in mine.tolist()])
-
-    rows = _per_text(docs, "name long, hashes array<long>", make)
-    rows = rows.join(members.select("name").hint("shuffle_hash"), "name", "left_semi").dropDuplicates(["name"])
-    rows = rows.join(members.select("name", "cluster", "block", "weight"), "name").join(places, ["cluster", "block"])
+    rows = shared.select("name", F.col("shared.h").alias("hashes")).join(members.select("name", "n", "cluster", "block", "weight"), "name").join(places, ["cluster", "block"])
     links = stored(_products(rows, per_cent), f"{base}/links")
     dropped(spark, f"{base}/edges", f"{base}/candidates")
     found = connected_components(links.select(F.col("name").alias("a"), F.col("root").alias("b")), f"{base}/found")
