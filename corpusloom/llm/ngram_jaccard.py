@@ -279,13 +279,14 @@ def link(docs: DataFrame, per_cent: int = PER_CENT, block: int = BLOCK, rounds:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component (its smallest doc_id; of rows that repeat it, the one whose text hash is least), with its own columns.
 
-    Documents of empty sets link with nothing and all stay.
+    Documents of empty sets link with nothing and all stay. Rows that repeat a doc_id with the same text are one document; those
+    that repeat it with another text, and rows of null doc_id, cannot be told apart by it and stay if one of them does.
     """
     found = link(docs).where("n_shingles > 0").select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_component"))
     firsts = found.where(F.col("_id").eqNullSafe(F.col("_component"))).select("_id").distinct()
     others = found.select("_id").distinct().join(firsts.select(F.col("_id").alias("_first")), F.col("_id").eqNullSafe(F.col("_first")), "left_anti")
     kept = docs.join(others, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     blank = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return kept.withColumn("_nth", F.when(blank, F.lit(1)).otherwise(F.row_number().over(order))).where("_nth = 1").drop("_nth")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat_format, decontaminate, katz_lm, line_dedup, media_columns, ngram_jaccard, quality, shard_packing, token_parquet
+from corpusloom.llm import chat_format, decontaminate, katz_lm, line_dedup, media_columns, ngram_jaccard, quality, shard_packing, source_mix, token_parquet
 
 QUERIES = {
     "op1_token_parquet": token_parquet.query,
+    "op2_source_mix": source_mix.query,
     "op3_ngram_jaccard": ngram_jaccard.query,
     "op4_quality_classifier": quality.query,
     "op5_katz_lm": katz_lm.query,
