@@ -202,8 +202,8 @@ def _read(index: DataFrame, size, values, schema: str, near: int) -> DataFrame:
             source.close()
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = index.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
-    return near.select("digest", "shard", "offset", "length", "media_sha256").mapInArrow(run, schema)
+    ordered = index.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
+    return ordered.select("digest", "shard", "offset", "length", "media_sha256").mapInArrow(run, schema)
 
 
 def headers(index: DataFrame) -> DataFrame:
