@@ -28,10 +28,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` and read it back: lineage ends here, and a lost executor costs no recomputation of what came before."""
+def stored(df: DataFrame, path: str, free: bool = False) -> DataFrame:
+    """Write ``df`` and read it back: lineage ends here, and a lost executor costs no recomputation of what came before.
+
+    ``free``: let Spark delete the shuffle files behind it at once.
+    """
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        dropped(out.sparkSession)
+    return out
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:

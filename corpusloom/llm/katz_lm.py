@@ -1,7 +1,7 @@
 """Language-model scores: Katz backoff with Good-Turing discounts.
 
 Tokens are words (lower-cased A-Z) and one end per document; a document's tokens follow an end that is context only. An n-gram
-is named by a 64-bit hash made from its context's name and its last word's.
+is named by a 64-bit hash made from the names of its first and its last n - 1 words.
 
 Counting goes by order. A task counts what it reads before anything is shuffled; an n-gram can only occur twice if its first and last n-1
 words do, so the others are counted as single on the spot, by a bitmap of fixed size. N-grams of two words and more that occur once are
@@ -49,6 +49,11 @@ HELD = 2_000_000
 END = np.uint64(0x1F83D9ABFB41BD6B)
 
 
+def _joined(first: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
+    """The names of n-grams from those of their first and last n - 1 words."""
+    return mixed(first * np.uint64(0xFF51AFD7ED558CCD) + last * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(order))
+
+
 def _names(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """(names by order, whether there is an n-gram of that order, owner): at place i, the n-grams whose last token is token i.
 
@@ -63,20 +68,20 @@ def _names(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.nd
     place = np.arange(len(owner)) - first[owner]
     names, there = [token], [place >= 1]
     for k in range(2, order + 1):
-        before = np.concatenate((np.zeros(1, dtype=np.uint64), names[-1][:-1]))
-        names.append(mixed(before * np.uint64(0xFF51AFD7ED558CCD) + token + np.uint64(k)))
+        names.append(_joined(np.concatenate((np.zeros(1, dtype=np.uint64), names[-1][:-1])), names[-1], k))
         there.append(place >= k - 1)
     return names, there, owner
 
 
 def _scan(docs: DataFrame, schema: str, order: int, pick) -> DataFrame:
-    """Over all texts: ``pick(names, there)`` gives columns of 64-bit values for the n-grams to count; equal first columns are counted together."""
+    """Over all texts: ``pick(names, there)`` gives the n-grams to count, by name, and columns that go with a name; the name itself
+    is a column where there is no other."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def counted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
         key, at, times = np.unique(columns[0], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(signed(key)), *(pa.array(signed(c[at])) for c in columns[1:]), pa.array(times)], names=names)
+        return pa.RecordBatch.from_arrays([*(pa.array(signed(c)) for c in ([c[at] for c in columns[1:]] or [key])), pa.array(times)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -93,6 +98,18 @@ def _scan(docs: DataFrame, schema: str, order: int, pick) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema)
 
 
+def _with_names(table: DataFrame, order: int) -> DataFrame:
+    """``table`` with key, the name of the n-gram of ctx and suf."""
+    fields = "key long, " + ", ".join(f"{n} {t}" for n, t in table.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, suf = (batch.column(batch.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("ctx", "suf"))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(_joined(ctx, suf, order))), *batch.columns], names=["key", *batch.schema.names])
+
+    return table.mapInArrow(run, fields)
+
+
 def discounts(n: dict[int, int], least: int, k: int = K) -> dict[int, float]:
     """The factor of each count from ``least`` to k (Katz, 1987), from how many n-grams have each count; counts above k keep all.
 
@@ -135,7 +152,7 @@ def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
     """The model of ``docs`` (text), its tables below ``base``."""
     spark = docs.sparkSession
     words = _scan(docs, "key long, c long", 1, lambda names, there: [names[0][there[0]]])
-    words = stored(words.groupBy("key").agg(F.sum("c").alias("c")), f"{base}/words")
+    words = stored(words.groupBy("key").agg(F.sum("c").alias("c")), f"{base}/words", free=True)
     total = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = total[0] or 0, total[1]
     d = discounts(_counts_of_counts(words), 1)
@@ -149,36 +166,25 @@ def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
     for k in range(2, order + 1):
         kept = spark.sparkContext.broadcast(bits(levels[-1].where("c > 1"), "key", MAP_BITS))
 
-        def survivors(names, there, k=k, kept=kept):
-            """Places of the n-grams of k words whose parts occur twice, and how many others there are."""
+        def pick(names, there, k=k, kept=kept):
+            """N-grams of k words whose parts occur twice; name 0 counts the others, all single."""
             at = np.flatnonzero(there[k - 1])
             twice = marked(kept.value, names[k - 2])
             good = at[twice[at] & twice[at - 1]]
-            return good, len(at) - len(good)
-
-        def count(names, there, k=k, survivors=survivors):
-            at, single = survivors(names, there)
-            return [np.concatenate((names[k - 1][at], np.zeros(single, dtype=np.uint64)))]  # name 0 counts the single ones
+            rest = np.zeros(len(at) - len(good), dtype=np.uint64)
+            return [np.concatenate((x, rest)) for x in (names[k - 1][good], names[k - 2][good - 1], names[k - 2][good])]
 
-        counts = stored(_scan(docs, "key long, c long", k, count).groupBy("key").agg(F.sum("c").alias("c")), f"{base}/counts-{k}")
-        times = _counts_of_counts(counts.where("key <> 0"))
-        times[1] = times.get(1, 0) + (counts.where("key = 0").agg(F.sum("c")).first()[0] or 0)
+        counts = _scan(docs, "ctx long, suf long, c long", k, pick).groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
+        counts = stored(counts, f"{base}/counts-{k}", free=True)
+        times = _counts_of_counts(counts.where("ctx <> 0 OR suf <> 0"))
+        times[1] = times.get(1, 0) + (counts.where("ctx = 0 AND suf = 0").agg(F.sum("c")).first()[0] or 0)
         d = discounts(times, 2)
-        several = counts.where("c > 1 AND key <> 0")
-        wanted = spark.sparkContext.broadcast(bits(several, "key", MAP_BITS))
-
-        def details(names, there, k=k, wanted=wanted, survivors=survivors):
-            at, _ = survivors(names, there)
-            at = at[marked(wanted.value, names[k - 1][at])]
-            return [names[k - 1][at], names[k - 2][at - 1], names[k - 2][at]]
-
-        parts = _scan(docs, "key long, ctx long, suf long, times long", k, details).groupBy("key").agg(F.first("ctx").alias("ctx"), F.first("suf").alias("suf"))
-        table = stored(several.join(parts, "key"), f"{base}/kept-{k}")
-        dropped(spark, f"{base}/counts-{k}")
+        table = counts.where("c > 1 AND (ctx <> 0 OR suf <> 0)")
         lower = levels[-1]
         table = table.join(lower.select(F.col("key").alias("suf"), F.col("logp").alias("suf_logp")), "suf")
         table = table.join(lower.select(F.col("key").alias("ctx"), F.col("c").alias("ctx_c")), "ctx").withColumn("mass", _factor(d, "c") * F.col("c"))
-        table = stored(table, f"{base}/joined-{k}")
+        table = stored(_with_names(table, k), f"{base}/joined-{k}", free=True)
+        dropped(spark, f"{base}/counts-{k}")
         sums = table.groupBy("ctx").agg(F.sum("mass").alias("all_mass"), F.sum(F.pow(F.lit(10.0), "suf_logp")).alias("lower"), F.first("ctx_c").alias("ctx_c"))
         # A context whose mass is all kept counts one occurrence more, so that something is left for other words.
         sums = sums.withColumn("of", F.when(F.col("all_mass") > F.col("ctx_c") - 1e-6, F.col("ctx_c") + 1.0).otherwise(F.col("ctx_c").cast("double")))
@@ -187,14 +193,14 @@ def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
         level = table.join(sums, "ctx").withColumn("logp", F.log10(F.col("mass") / F.col("of")))
         levels.append(stored(level.select("key", "c", "logp", "ctx", "suf", (F.col("logp") - F.col("loga") - F.col("suf_logp")).alias("over")), f"{base}/level-{k}"))
         weights.append(sums.select("ctx", "loga"))
-        dropped(spark, f"{base}/kept-{k}", f"{base}/joined-{k}")
+        dropped(spark, f"{base}/joined-{k}")
     terms = []
     for k, level in enumerate(levels):
         own = F.col("logp") if k == 0 else F.col("over")
         if k < len(weights):
             level = level.join(weights[k].withColumnRenamed("ctx", "key"), "key", "left")
             own = own + F.coalesce("loga", F.lit(0.0))
-        terms.append(stored(level.select("key", "c", own.alias("term")), f"{base}/terms-{k + 1}"))
+        terms.append(stored(level.select("key", "c", own.alias("term")), f"{base}/terms-{k + 1}", free=True))
     return Model(n, v, unknown, levels, weights, terms)
 
 
