@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +29,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes from here on: long texts make the default of 10000 rows too large for a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > size:
+        spark.conf.set(key, str(size))
+
+
 def stored(df: DataFrame, path: str, free: bool = False) -> DataFrame:
     """Write ``df`` and read it back: lineage ends here, and a lost executor costs no recomputation of what came before.
 
@@ -47,8 +55,10 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # the first collection lets go of plans, the second of the shuffles that only they held
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.2)
 
 
 def filesystem(uri: str):

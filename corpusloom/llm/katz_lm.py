@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, as_bytes, bits, chunks, clean_select, documents, dropped, marked, mixed, remainder, shared_dir, signed, stored
+from corpusloom.llm.common import Words, as_bytes, bits, chunks, clean_select, documents, dropped, marked, mixed, remainder, shared_dir, signed, small_batches, stored
 
 #: Words in the longest n-grams.
 ORDER = 3
@@ -77,6 +77,7 @@ def _scan(docs: DataFrame, schema: str, order: int, pick) -> DataFrame:
     """Over all texts: ``pick(names, there)`` gives the n-grams to count, by name, and columns that go with a name; the name itself
     is a column where there is no other."""
     names = [c.split()[0] for c in schema.split(", ")]
+    small_batches(docs.sparkSession)
 
     def counted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -258,6 +259,7 @@ def score(docs: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
     unknown, unseen = model.unknown, float(np.log10(0.5 / whole))
     schema = "row long, doc_id long, held_out boolean, level int, key long, times long, n_tokens long, n_known long, base double, score double"
     names = [c.split()[0] for c in schema.split(", ")]
+    small_batches(docs.sparkSession)
     tables: list[_Sorted] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

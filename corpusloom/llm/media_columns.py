@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes, bits, documents, filesystem, marked, shared_dir, stored
+from corpusloom.llm.common import as_bytes, bits, documents, filesystem, marked, shared_dir, small_batches, stored
 
 WIDTH = 576
 PAD = 255
@@ -147,6 +147,7 @@ def write_shards(texts: DataFrame, folder: str) -> DataFrame:
 def store(docs: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, n_bytes of each document; the index of the members)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.sha2("text", 256)).withColumn("mark", F.xxhash64("digest"))
     owners = stored(rows.select("doc_id", "digest", "mark", F.octet_length("text").cast("long").alias("n_bytes")), f"{base}/owners")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, as_bytes, bits, chunks, clean_select, documents, dropped, marked, mixed, shared_dir, signed, stored
+from corpusloom.llm.common import Words, as_bytes, bits, chunks, clean_select, documents, dropped, marked, mixed, shared_dir, signed, small_batches, stored
 from corpusloom.llm.components import connected_components
 
 WORDS_A_SHINGLE = 5
@@ -80,6 +80,7 @@ def set_names(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _per_text(docs: DataFrame, columns: str, make) -> DataFrame:
     """mapInArrow over (doc_id, text): ``make(hashes, first, names, doc_ids)`` gives the columns of a run of texts."""
     names = [c.split()[0] for c in columns.split(", ")]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

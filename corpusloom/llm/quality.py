@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, Words, as_bytes, chunks, clean_select, documents, mixed, remainder
-from corpusloom.llm.rowwise import with_computed
+from corpusloom.llm.common import LOWER, Words, as_bytes, chunks, clean_select, documents, mixed, remainder, small_batches
+from corpusloom.llm.rowwise import kept_rows, with_computed
 
 BITS = 18
 #: Most labelled rows that the model is fitted on.
@@ -112,6 +112,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPL
     total = known.count()
     part = min(1.0, sample / max(total, 1))
     chosen = known.where(F.shiftrightunsigned("at", 11) <= int(part * 0.97 * (1 << 53)) if total > sample else F.lit(True)).orderBy("at").limit(sample)
+    small_batches(docs.sparkSession)
     rows = clean_select(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("at", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = SAMPLE, ep
     return np.frombuffer(model["weights"], dtype=np.float32) if model else np.zeros((1 << BITS) + 1, dtype=np.float32)
 
 
+def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """The probability of each text's label 1: a sparse dot product and the logistic function."""
+    slots, values, first = features(texts)
+    return 1 / (1 + np.exp(-np.clip(_sums(weights, slots, values, first) + float(weights[-1]), -35, 35)))
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` with score (0 to 1; higher: good quality likelier) and predicted (1 from the threshold on)."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def compute(texts: list[bytes], _: dict) -> dict:
-        w = model.value
-        slots, values, first = features(texts)
-        s = 1 / (1 + np.exp(-np.clip(_sums(w, slots, values, first) + float(w[-1]), -35, 35)))
+        s = scores(texts, model.value)
         return {"score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
 
     return with_computed(docs, "score double, predicted int", compute, CHUNK)
@@ -171,9 +176,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier, fitted on all labels, does not reject; with their own columns."""
-    weights = fit(docs, labels)
-    marked = score(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("text")), weights)
-    return marked.where(F.col("predicted") == 1).select("_row.*")
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return kept_rows(docs, lambda texts: (scores(texts, model.value) >= THRESHOLD).tolist(), CHUNK)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

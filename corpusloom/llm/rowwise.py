@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import as_bytes, chunks
+from corpusloom.llm.common import as_bytes, chunks, small_batches
 
 
 def with_computed(df: DataFrame, schema: str, compute: Callable[[list[bytes], dict], dict[str, list]], chunk: int, text: str = "text", state: tuple[str, ...] = ()) -> DataFrame:
@@ -17,6 +17,7 @@ def with_computed(df: DataFrame, schema: str, compute: Callable[[list[bytes], di
 
     Null texts come as empty ones. ``compute`` sees runs of whole texts of about ``chunk`` bytes.
     """
+    small_batches(df.sparkSession)
     added = StructType.fromDDL(schema)
     kept = df.drop(*(x for x in added.names if x not in state))
     out = StructType([f for f in kept.schema if f.name not in added.names] + added.fields)
@@ -38,3 +39,16 @@ def with_computed(df: DataFrame, schema: str, compute: Callable[[list[bytes], di
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return kept.mapInArrow(run, out)
+
+
+def kept_rows(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], chunk: int, text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, for whose texts ``keep`` says so; null texts come as empty ones."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
+            for begin, end in chunks(texts, chunk):
+                yield batch.slice(begin, end - begin).filter(pa.array(keep(texts[begin:end]), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

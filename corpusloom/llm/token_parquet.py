@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BLANKS, HashTable, Words, as_bytes, chunks, documents, filesystem, shared_dir, stored
+from corpusloom.llm.common import BLANKS, HashTable, Words, as_bytes, chunks, documents, filesystem, shared_dir, small_batches, stored
 
 END_ID = 2
 #: Ids in a row group, or those of one document.
@@ -39,7 +39,7 @@ GROUP_IDS = 1 << 20
 #: Bytes in a data page before encoding.
 PAGE = 64 << 10
 #: Words whose ids a task keeps; then it keeps the half that came first.
-WORDS = 2_000_000
+WORDS = 1_000_000
 CHUNK = 1 << 20
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -178,6 +178,7 @@ def _schema(docs: DataFrame, meta: list[str]) -> pa.Schema:
 def write_tokens(docs: DataFrame, out: str, definition: str, end_id: int = END_ID, meta: tuple[str, ...] = (), encoding: str = "dictionary", whole_words: bool = True, partitions: int | None = None) -> DataFrame:
     """Write ``docs`` below ``out``; returns the manifest: part, path, rows, ids, groups, before (ids of the parts before)."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(m).cast("string").alias(f"meta_{i}") for i, m in enumerate(meta)))
     rows = rows.withColumn("tie", F.xxhash64("text"))
