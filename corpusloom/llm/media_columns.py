@@ -104,8 +104,8 @@ class _Shards:
         if self.sink is None:
             fs, path = filesystem(self.folder)
             fs.create_dir(path)
-            self.shard = f"{self.folder}/shard-{uuid.uuid4().hex}.tar"
-            self.sink, self.at = fs.open_output_stream(f"{path}/{self.shard.rsplit('/', 1)[1]}"), 0
+            self.shard = f"shard-{uuid.uuid4().hex}.tar"
+            self.sink, self.at = fs.open_output_stream(f"{path}/{self.shard}"), 0
         info = tarfile.TarInfo(name)
         info.size = len(body)
         head = info.tobuf(tarfile.USTAR_FORMAT)
@@ -123,7 +123,7 @@ class _Shards:
             self.sink = None
 
 
-_INDEX = "digest string, shard string, offset long, length long, media_sha256 string"
+_INDEX = "digest binary, shard string, offset long, length long, media_sha256 binary"
 
 
 def write_shards(texts: DataFrame, folder: str) -> DataFrame:
@@ -135,8 +135,8 @@ def write_shards(texts: DataFrame, folder: str) -> DataFrame:
             rows: list[tuple] = []
             for digest, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 png = to_png(payload_of(text))
-                name = hashlib.sha256(png).hexdigest()
-                rows.append((digest, *shards.add(f"{name}.png", png), len(png), name))
+                name = hashlib.sha256(png)
+                rows.append((digest, *shards.add(f"{name.hexdigest()}.png", png), len(png), name.digest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["digest", "shard", "offset", "length", "media_sha256"])
         shards.close()
@@ -145,11 +145,11 @@ def write_shards(texts: DataFrame, folder: str) -> DataFrame:
 
 
 def store(docs: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, n_bytes of each document; the index of the members)."""
+    """(doc_id, digest, n_bytes of each document; the index of the members in the shards below ``base``/shards)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.sha2("text", 256)).withColumn("mark", F.xxhash64("digest"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("mark", F.xxhash64("digest"))
     owners = stored(rows.select("doc_id", "digest", "mark", F.octet_length("text").cast("long").alias("n_bytes")), f"{base}/owners")
     shared = owners.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("mark").alias("mark")).where("n > 1")
     sent = spark.sparkContext.broadcast(bits(shared, "mark", MAP_BITS))
@@ -162,7 +162,7 @@ def store(docs: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
 
     alone = write_shards(rows.where(~is_marked("mark")), f"{base}/shards")
     several = write_shards(rows.where(is_marked("mark")).groupBy("digest").agg(F.first("text").alias("text")), f"{base}/shards")
-    index = stored(alone.unionByName(several), f"{base}/index")
+    index = stored(alone.unionByName(several), f"{base}/index", free=True)
     return owners.select("doc_id", "digest", "n_bytes"), index
 
 
@@ -183,7 +183,7 @@ def _ranges(rows: list[dict], size, near: int) -> Iterator[tuple[list[dict], int
         yield held, begin, end
 
 
-def _read(index: DataFrame, size, values, schema: str, near: int) -> DataFrame:
+def _read(index: DataFrame, folder: str, size, values, schema: str, near: int) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +194,8 @@ def _read(index: DataFrame, size, values, schema: str, near: int) -> DataFrame:
                     if source is not None:
                         source.close()
                     open_shard = members[0]["shard"]
-                    fs, path = filesystem(open_shard)
-                    source = fs.open_input_file(path)
+                    fs, path = filesystem(folder)
+                    source = fs.open_input_file(f"{path}/{open_shard}")
                 body = source.read_at(end - begin, begin)
                 rows = [(m["digest"], *values(m, body[m["offset"] - begin : m["offset"] - begin + size(m)])) for m in members]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
@@ -207,29 +207,32 @@ def _read(index: DataFrame, size, values, schema: str, near: int) -> DataFrame:
     return ordered.select("digest", "shard", "offset", "length", "media_sha256").mapInArrow(run, schema)
 
 
-def headers(index: DataFrame) -> DataFrame:
+def headers(index: DataFrame, folder: str) -> DataFrame:
     """digest, width, height, bit_depth: from range reads of the members' first bytes alone."""
-    return _read(index, lambda m: HEADER, lambda m, head: header_of(head), "digest string, width long, height long, bit_depth long", 0)
+    return _read(index, folder, lambda m: HEADER, lambda m, head: header_of(head), "digest binary, width long, height long, bit_depth long", 0)
 
 
-def features(index: DataFrame) -> DataFrame:
-    """digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: from the stored members."""
+def features(index: DataFrame, folder: str) -> DataFrame:
+    """digest, shard, offset, length, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: from the stored members."""
 
     def values(member: dict, png: bytes) -> tuple:
         payload = from_png(png)
-        name = hashlib.sha256(png).hexdigest()
+        name = hashlib.sha256(png).digest()
         if name != member["media_sha256"]:
             raise ValueError("a member is not what its name says")
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), name, feature_of(payload)
+        return member["shard"], member["offset"], member["length"], len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-32:]), len(png), name, feature_of(payload)
 
-    return _read(index, lambda m: m["length"], values, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", NEAR)
+    schema = "digest binary, shard string, offset long, length long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+    return _read(index, folder, lambda m: m["length"], values, schema, NEAR)
 
 
 def media(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_bytes, its member's place and header, and what its samples say."""
-    owners, index = store(docs, shared_dir(docs.sparkSession, "media"))
-    about = features(index).join(headers(index), "digest").join(index.select("digest", "shard", "offset", "length"), "digest")
-    return owners.join(about, "digest")
+    base = shared_dir(docs.sparkSession, "media")
+    owners, index = store(docs, base)
+    about = features(index, f"{base}/shards").join(headers(index, f"{base}/shards"), "digest")
+    rows = owners.join(about, "digest")
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
