@@ -4,7 +4,7 @@ Tokens are words (lower-cased A-Z) and one end per document; a document's tokens
 is named by a 64-bit hash made from the names of its first and its last n - 1 words.
 
 Counting goes by order. A task counts what it reads before anything is shuffled; an n-gram can only occur twice if its first and last n-1
-words do, so the others are counted as single on the spot, by a bitmap of fixed size. N-grams of two words and more that occur once are
+words do, so the others are left out on the spot, by a bitmap of fixed size; how many are single is what is left of all. N-grams of two words and more that occur once are
 discounted to nothing, as Katz proposes for large tables, and the others by Good-Turing with k = ``K``. A context's
 backoff weight is (1 - its discounted mass) / (1 - the lower order's mass of the same words), so every conditional
 distribution over the vocabulary and one unknown word sums to 1.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Words, as_bytes, bits, chunks, clean_select, documents, dropped, marked, mixed, remainder, shared_dir, signed, small_batches, stored
 
-#: Words in the longest n-grams.
+#: Words in the longest n-grams, three at most.
 ORDER = 3
 #: Counts above this are not discounted.
 K = 5
@@ -151,11 +151,14 @@ class Model:
 
 def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
     """The model of ``docs`` (text), its tables below ``base``."""
+    if order not in (1, 2, 3):
+        raise ValueError("order is 1, 2 or 3")
     spark = docs.sparkSession
     words = _scan(docs, "key long, c long", 1, lambda names, there: [names[0][there[0]]])
     words = stored(words.groupBy("key").agg(F.sum("c").alias("c")), f"{base}/words", free=True)
     total = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = total[0] or 0, total[1]
+    texts = words.where(F.col("key") == int(END.view(np.int64))).agg(F.sum("c")).first()[0] or 0
     d = discounts(_counts_of_counts(words), 1)
     one = words.withColumn("p", _factor(d, "c") * F.col("c") / F.lit(float(max(n, 1))))
     left = 1.0 - (one.agg(F.sum("p")).first()[0] or 0.0)
@@ -168,19 +171,18 @@ def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
         kept = spark.sparkContext.broadcast(bits(levels[-1].where("c > 1"), "key", MAP_BITS))
 
         def pick(names, there, k=k, kept=kept):
-            """N-grams of k words whose parts occur twice; name 0 counts the others, all single."""
+            """N-grams of k words whose parts occur twice; the others are single, and counted by what is left of all."""
             at = np.flatnonzero(there[k - 1])
             twice = marked(kept.value, names[k - 2])
-            good = at[twice[at] & twice[at - 1]]
-            rest = np.zeros(len(at) - len(good), dtype=np.uint64)
-            return [np.concatenate((x, rest)) for x in (names[k - 1][good], names[k - 2][good - 1], names[k - 2][good])]
+            at = at[twice[at] & twice[at - 1]]
+            return names[k - 1][at], names[k - 2][at - 1], names[k - 2][at]
 
         counts = _scan(docs, "ctx long, suf long, c long", k, pick).groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
-        counts = stored(counts, f"{base}/counts-{k}", free=True)
-        times = _counts_of_counts(counts.where("ctx <> 0 OR suf <> 0"))
-        times[1] = times.get(1, 0) + (counts.where("ctx = 0 AND suf = 0").agg(F.sum("c")).first()[0] or 0)
+        table = stored(counts.where("c > 1"), f"{base}/counts-{k}", free=True)
+        times = _counts_of_counts(table)
+        # A text of w words has w + 1 pairs and w triples, its ends included.
+        times[1] = n - (k - 2) * texts - (table.agg(F.sum("c")).first()[0] or 0)
         d = discounts(times, 2)
-        table = counts.where("c > 1 AND (ctx <> 0 OR suf <> 0)")
         lower = levels[-1]
         table = table.join(lower.select(F.col("key").alias("suf"), F.col("logp").alias("suf_logp")), "suf")
         table = table.join(lower.select(F.col("key").alias("ctx"), F.col("c").alias("ctx_c")), "ctx").withColumn("mass", _factor(d, "c") * F.col("c"))
