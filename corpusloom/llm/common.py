@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -36,6 +37,22 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def tidy(run):
+    """``run`` for mapInArrow, giving memory back at its end: later tasks of other stages use the same Python workers."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def stored(df: DataFrame, path: str, free: bool = False) -> DataFrame:
     """Write ``df`` and read it back: lineage ends here, and a lost executor costs no recomputation of what came before.
 

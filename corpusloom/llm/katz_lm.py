@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, as_bytes, bits, chunks, clean_select, documents, dropped, marked, mixed, remainder, shared_dir, signed, small_batches, stored
+from corpusloom.llm.common import Words, as_bytes, bits, chunks, clean_select, documents, dropped, marked, mixed, remainder, shared_dir, signed, small_batches, stored, tidy
 
 #: Words in the longest n-grams, three at most.
 ORDER = 3
@@ -96,7 +96,7 @@ def _scan(docs: DataFrame, schema: str, order: int, pick) -> DataFrame:
         if held:
             yield counted(held)
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(tidy(run), schema)
 
 
 def _with_names(table: DataFrame, order: int) -> DataFrame:
@@ -108,7 +108,7 @@ def _with_names(table: DataFrame, order: int) -> DataFrame:
             ctx, suf = (batch.column(batch.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("ctx", "suf"))
             yield pa.RecordBatch.from_arrays([pa.array(signed(_joined(ctx, suf, order))), *batch.columns], names=["key", *batch.schema.names])
 
-    return table.mapInArrow(run, fields)
+    return table.mapInArrow(tidy(run), fields)
 
 
 def discounts(n: dict[int, int], least: int, k: int = K) -> dict[int, float]:
@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
                         [pa.array(rows[who]), empty(m, pa.int64()), empty(m, pa.bool_()), pa.array(level.astype(np.int32)), pa.array(signed(key)), pa.array(times), empty(m, pa.int64()), empty(m, pa.int64()), empty(m, pa.float64()), empty(m, pa.float64())], names=names
                     )
 
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(tidy(run), schema)
     rest = rests[0]
     for r in rests[1:]:
         rest = rest.unionByName(r)

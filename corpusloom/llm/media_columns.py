@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes, bits, documents, filesystem, marked, shared_dir, small_batches, stored
+from corpusloom.llm.common import as_bytes, bits, documents, filesystem, marked, shared_dir, small_batches, stored, tidy
 
 WIDTH = 576
 PAD = 255
@@ -141,7 +141,7 @@ def write_shards(texts: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["digest", "shard", "offset", "length", "media_sha256"])
         shards.close()
 
-    return texts.select("digest", "text").mapInArrow(run, _INDEX)
+    return texts.select("digest", "text").mapInArrow(tidy(run), _INDEX)
 
 
 def store(docs: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
@@ -204,7 +204,7 @@ def _read(index: DataFrame, folder: str, size, values, schema: str, near: int) -
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = index.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
-    return ordered.select("digest", "shard", "offset", "length", "media_sha256").mapInArrow(run, schema)
+    return ordered.select("digest", "shard", "offset", "length", "media_sha256").mapInArrow(tidy(run), schema)
 
 
 def headers(index: DataFrame, folder: str) -> DataFrame:

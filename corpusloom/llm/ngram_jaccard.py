@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, as_bytes, bits, chunks, clean_select, documents, dropped, marked, mixed, shared_dir, signed, small_batches, stored
+from corpusloom.llm.common import Words, as_bytes, bits, chunks, clean_select, documents, dropped, marked, mixed, shared_dir, signed, small_batches, stored, tidy
 from corpusloom.llm.components import connected_components
 
 WORDS_A_SHINGLE = 5
@@ -90,7 +90,7 @@ def _per_text(docs: DataFrame, columns: str, make) -> DataFrame:
                 made = make(hashes, first, set_names(hashes, first), batch.column(0).slice(begin, end - begin))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in made], names=names)
 
-    return docs.mapInArrow(run, columns)
+    return docs.mapInArrow(tidy(run), columns)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _products(rows: DataFrame, per_cent: int) -> DataFrame:
 
     by = ["cluster", "i", "j"]
     ordered = rows.repartition(*by).sortWithinPartitions(*by, "block", "name").select(*by, "block", "name", "n", "weight", "hashes")
-    return ordered.mapInArrow(solve, "name long, root long, links long")
+    return ordered.mapInArrow(tidy(solve), "name long, root long, links long")
 
 
 def link(docs: DataFrame, per_cent: int = PER_CENT, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, Words, as_bytes, chunks, clean_select, documents, mixed, remainder, small_batches
+from corpusloom.llm.common import LOWER, Words, as_bytes, chunks, clean_select, documents, mixed, remainder, small_batches, tidy
 from corpusloom.llm.rowwise import kept_rows, with_computed
 
 BITS = 18
@@ -129,7 +129,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPL
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], names=["at", "label", "slots", "values"])
 
-    made = rows.mapInArrow(run, "at long, label int, slots binary, values binary")
+    made = rows.mapInArrow(tidy(run), "at long, label int, slots binary, values binary")
     return made.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
 
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = SAMPLE, ep
         w = np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
-    model = rows.repartition(1).sortWithinPartitions("epoch", "at", "label", F.crc32("values")).mapInArrow(run, "weights binary").first()
+    model = rows.repartition(1).sortWithinPartitions("epoch", "at", "label", F.crc32("values")).mapInArrow(tidy(run), "weights binary").first()
     return np.frombuffer(model["weights"], dtype=np.float32) if model else np.zeros((1 << BITS) + 1, dtype=np.float32)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import as_bytes, chunks, small_batches
+from corpusloom.llm.common import as_bytes, chunks, small_batches, tidy
 
 
 def with_computed(df: DataFrame, schema: str, compute: Callable[[list[bytes], dict], dict[str, list]], chunk: int, text: str = "text", state: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +38,7 @@ def with_computed(df: DataFrame, schema: str, compute: Callable[[list[bytes], di
                         columns.append(part.column(part.schema.get_field_index(field.name)).cast(field.type))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(tidy(run), out)
 
 
 def kept_rows(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], chunk: int, text: str = "text") -> DataFrame:
@@ -51,4 +51,4 @@ def kept_rows(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], chunk: i
             for begin, end in chunks(texts, chunk):
                 yield batch.slice(begin, end - begin).filter(pa.array(keep(texts[begin:end]), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BLANKS, HashTable, Words, as_bytes, chunks, documents, filesystem, shared_dir, small_batches, stored
+from corpusloom.llm.common import BLANKS, HashTable, Words, as_bytes, chunks, documents, filesystem, shared_dir, small_batches, stored, tidy
 
 END_ID = 2
 #: Ids in a row group, or those of one document.
@@ -47,8 +47,6 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in ",.;:!?|%$#&*()\"-"]] = True
 
-_encoders: dict[tuple, WordEncoder] = {}
-
 
 class _Pieces(Words):
     """Stretches between white space, cut also where a letter a-z is followed by a mark other than an apostrophe.
@@ -162,15 +160,6 @@ def _larger(table: HashTable, n: int) -> HashTable:
     return out
 
 
-def _encoder(definition: str, *args) -> WordEncoder:
-    """Python workers run many tasks; what they have learnt stays."""
-    key = (zlib.crc32(definition.encode()), *args)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(definition, *args)
-    return _encoders[key]
-
-
 def _schema(docs: DataFrame, meta: list[str]) -> pa.Schema:
     return pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("offset", pa.int64()), *((m, pa.string()) for m in meta), ("tokens", pa.list_(pa.int32()))])
 
@@ -189,7 +178,7 @@ def write_tokens(docs: DataFrame, out: str, definition: str, end_id: int = END_I
         import pyarrow.parquet as pq
 
         part = TaskContext.get().partitionId()
-        encoder = _encoder(sent.value, end_id, WORDS, whole_words)
+        encoder = WordEncoder(sent.value, end_id, WORDS, whole_words)
         writer, groups, total, count, held, waiting = None, 0, 0, 0, [], 0
 
         def flush() -> None:
@@ -233,7 +222,7 @@ def write_tokens(docs: DataFrame, out: str, definition: str, end_id: int = END_I
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{data}/{path.rsplit('/', 1)[1]}"], "rows": [count], "ids": [total], "groups": [groups]})
 
-    written = stored(rows.mapInArrow(run, "part long, path string, rows long, ids long, groups long"), f"{out}/parts")
+    written = stored(rows.mapInArrow(tidy(run), "part long, path string, rows long, ids long, groups long"), f"{out}/parts")
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return stored(written.withColumn("before", before), f"{out}/manifest")
 
@@ -270,7 +259,7 @@ def digests(manifest: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
 
     groups = manifest.select("path", "before", F.explode(F.sequence(F.lit(0), F.col("groups").cast("int") - 1)).alias("group"))
     tasks = groups.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "group")
-    return tasks.mapInArrow(run, ", ".join(["doc_id long, start long, n_tokens long, ids_crc32 long", *(f"`{m}` string" for m in meta)]))
+    return tasks.mapInArrow(tidy(run), ", ".join(["doc_id long, start long, n_tokens long, ids_crc32 long", *(f"`{m}` string" for m in meta)]))
 
 
 def definition_of(name: str = "word_bpe_49k.json", path: str | None = None) -> str:
