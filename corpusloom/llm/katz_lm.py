@@ -139,7 +139,7 @@ def _counts_of_counts(table: DataFrame, most: int = K + 1) -> dict[int, int]:
 
 @dataclass
 class Model:
-    """``terms[n - 1]``: key, c, term of the kept n-grams; ``levels`` has also ctx, suf and logp; ``weights``: ctx, log a."""
+    """``terms[n - 1]``: key, c, term of the kept n-grams; ``levels``: key, c, logp (log p*); ``weights``: ctx, log a."""
 
     n: int  # training tokens
     v: int  # distinct ones
@@ -186,7 +186,7 @@ def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
         lower = levels[-1]
         table = table.join(lower.select(F.col("key").alias("suf"), F.col("logp").alias("suf_logp")), "suf")
         table = table.join(lower.select(F.col("key").alias("ctx"), F.col("c").alias("ctx_c")), "ctx").withColumn("mass", _factor(d, "c") * F.col("c"))
-        table = stored(_with_names(table, k), f"{base}/joined-{k}", free=True)
+        table = stored(_with_names(table, k).drop("suf"), f"{base}/joined-{k}", free=True)
         dropped(spark, f"{base}/counts-{k}")
         sums = table.groupBy("ctx").agg(F.sum("mass").alias("all_mass"), F.sum(F.pow(F.lit(10.0), "suf_logp")).alias("lower"), F.first("ctx_c").alias("ctx_c"))
         # A context whose mass is all kept counts one occurrence more, so that something is left for other words.
@@ -194,7 +194,7 @@ def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
         sums = sums.select("ctx", "of", F.log10((1 - F.col("all_mass") / F.col("of")) / F.greatest(1 - F.col("lower"), F.lit(1e-300))).alias("loga"))
         sums = stored(sums, f"{base}/weights-{k}")
         level = table.join(sums, "ctx").withColumn("logp", F.log10(F.col("mass") / F.col("of")))
-        levels.append(stored(level.select("key", "c", "logp", "ctx", "suf", (F.col("logp") - F.col("loga") - F.col("suf_logp")).alias("over")), f"{base}/level-{k}"))
+        levels.append(stored(level.select("key", "c", "logp", (F.col("logp") - F.col("loga") - F.col("suf_logp")).alias("over")), f"{base}/level-{k}"))
         weights.append(sums.select("ctx", "loga"))
         dropped(spark, f"{base}/joined-{k}")
     terms = []
