@@ -64,7 +64,11 @@ def _in_a_row(words: list[str]) -> Column:
 def cover_density(words: list[str]) -> Column:
     """Sum over the minimal stretches that hold all ``words`` of WEIGHT / (1 + words between), of the column ``found``."""
     n = len(words)
-    lists = [F.transform(F.coalesce(F.try_element_at(F.col("found"), F.lit(w)), F.array().cast("array<int>")), lambda p, i=i: F.struct(p.alias("p"), F.lit(i).alias("i"))) for i, w in enumerate(words)]
+
+    def placed(i: int, word: str) -> Column:
+        return F.transform(F.coalesce(F.try_element_at(F.col("found"), F.lit(word)), F.array().cast("array<int>")), lambda p: F.struct(p.alias("p"), F.lit(i).alias("i")))
+
+    lists = [placed(i, w) for i, w in enumerate(words)]
     start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("begun"), F.lit(0.0).cast("double").alias("sum"))
 
     def step(s: Column, x: Column) -> Column:

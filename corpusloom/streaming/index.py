@@ -21,7 +21,8 @@ def replaced(spark: SparkSession, tables: dict[str, DataFrame], root: str, slugs
     key = F.pmod(F.xxhash64("slug"), F.lit(buckets)).cast("int")
     gone = tables["documents"].select("slug")
     gone = gone.unionByName(slugs.select("slug")) if slugs is not None else gone
-    gone = gone.distinct().persist()
+    gone.distinct().write.mode("overwrite").parquet(f"{root}/_gone")
+    gone = spark.read.schema(gone.schema).parquet(f"{root}/_gone")
     touched = [r[0] for r in gone.select(key.alias("b")).distinct().collect()]  # at most ``buckets``
     for name in TABLES:
         rows = tables[name].withColumn("bucket", key)
@@ -35,9 +36,9 @@ def replaced(spark: SparkSession, tables: dict[str, DataFrame], root: str, slugs
         spare = f"{root}/_next/{name}"
         rows.write.mode("overwrite").partitionBy("bucket").parquet(spare)
         fresh = spark.read.schema(rows.schema).parquet(spare)
+        spark.catalog.refreshByPath(f"{root}/{name}")
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{name}")
         _emptied(spark, f"{root}/{name}", set(touched) - {r[0] for r in fresh.select("bucket").distinct().collect()})
-    gone.unpersist()
 
 
 def _emptied(spark: SparkSession, path: str, buckets: set[int]) -> None:
@@ -49,13 +50,16 @@ def _emptied(spark: SparkSession, path: str, buckets: set[int]) -> None:
 
 
 def read_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    for name in TABLES:
+        spark.catalog.refreshByPath(f"{root}/{name}")
     return {name: spark.read.parquet(f"{root}/{name}").drop("bucket") for name in TABLES}
 
 
 def update(spark: SparkSession, files: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]], root: str, complete: bool = True) -> DataFrame:
     """Bring the index below ``root`` in line with ``files`` (slug, kb_sha256, ...); returns slug, action.
 
-    Only new and changed files are parsed; ``complete``: documents without a file are deleted.
+    Only new and changed files are parsed; ``complete``: documents without a file are deleted. What is to be done is written before the
+    index is touched, so nothing that comes later reads the state that it replaces.
     """
     try:
         indexed = spark.read.parquet(f"{root}/documents").select("slug", "kb_sha256")
@@ -65,10 +69,11 @@ def update(spark: SparkSession, files: DataFrame, build: Callable[[DataFrame], d
         indexed = spark.createDataFrame([], "slug string, kb_sha256 string")
     actions = index_diff(files, indexed)
     actions = actions if complete else actions.where("action <> 'deleted'")
-    rows = actions.persist()
-    todo = files.join(rows.where("action IN ('indexed', 'reindexed')").select("slug"), "slug", "left_semi")
-    replaced(spark, build(todo), root, rows.where("action = 'deleted'"))
-    return rows
+    actions.write.mode("overwrite").parquet(f"{root}/_actions")
+    actions = spark.read.schema(actions.schema).parquet(f"{root}/_actions")
+    todo = files.join(actions.where("action IN ('indexed', 'reindexed')").select("slug"), "slug", "left_semi")
+    replaced(spark, build(todo), root, actions.where("action = 'deleted'"))
+    return actions
 
 
 def start(spark: SparkSession, stream: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]], root: str, checkpoint: str, **trigger):
