@@ -298,7 +298,7 @@ def test_page_geometry(spark):
 
     def line(page, top, text, x=50.0, size=10.0, font="Sans"):
         for w in text.split(" "):
-            rows.append(("d", page, x, x + 5.0 * len(w), top, top + size, size, font, w))
+            rows.append(("d", page, x, x + 5.0 * len(w), float(top), top + size, size, font, w))
             x += 5.0 * len(w) + 4
 
     for page in (1, 2, 3):
