@@ -38,9 +38,9 @@ ORDER = 3
 #: Counts above this are not discounted.
 K = 5
 #: Terms of each order that go to every task (16 to 24 bytes each).
-HOT = 1_000_000
+HOT = 500_000
 #: Bits, as a power of two, of the maps that go to every task.
-MAP_BITS = 26
+MAP_BITS = 25
 CHUNK = 1 << 20
 #: N-grams that a task holds before it counts them.
 HELD = 2_000_000
@@ -179,6 +179,7 @@ def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
 
         counts = _scan(docs, "ctx long, suf long, c long", k, pick).groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
         table = stored(counts.where("c > 1"), f"{base}/counts-{k}", free=True)
+        kept.destroy()  # every executor and the driver hold a copy on disk as well
         times = _counts_of_counts(table)
         # A text of w words has w + 1 pairs and w triples, its ends included.
         times[1] = n - (k - 2) * texts - (table.agg(F.sum("c")).first()[0] or 0)
