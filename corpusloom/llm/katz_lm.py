@@ -3,10 +3,8 @@
 Tokens are words (lower-cased A-Z) and one end per document; a document's tokens follow an end that is context only. An n-gram
 is named by a 64-bit hash made from the names of its first and its last n - 1 words.
 
-Counting goes by order. A task counts what it reads before anything is shuffled; an n-gram can only occur twice if its first and last n-1
-words do, so the others are left out on the spot, by a bitmap of fixed size; how many are single is what is left of all. N-grams of two words and more that occur once are
-discounted to nothing, as Katz proposes for large tables, and the others by Good-Turing with k = ``K``. A context's
-backoff weight is (1 - its discounted mass) / (1 - the lower order's mass of the same words), so every conditional
+Counting goes by order. A task counts what it reads before anything is shuffled. Every n-gram of the training texts is kept, those that
+occur once as well, and discounted by Good-Turing with k = ``K``. A context's backoff weight is (1 - its discounted mass) / (1 - the lower order's mass of the same words), so every conditional
 distribution over the vocabulary and one unknown word sums to 1.
 
 Evaluation is the recursion log p(w | h) = log p*(w | h) if hw is kept, else log a(h) + log p(w | h'). As hw kept implies h'w
@@ -158,7 +156,6 @@ def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
     words = stored(words.groupBy("key").agg(F.sum("c").alias("c")), f"{base}/words", free=True)
     total = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = total[0] or 0, total[1]
-    texts = words.where(F.col("key") == int(END.view(np.int64))).agg(F.sum("c")).first()[0] or 0
     d = discounts(_counts_of_counts(words), 1)
     one = words.withColumn("p", _factor(d, "c") * F.col("c") / F.lit(float(max(n, 1))))
     left = 1.0 - (one.agg(F.sum("p")).first()[0] or 0.0)
@@ -168,22 +165,14 @@ def train(docs: DataFrame, base: str, order: int = ORDER) -> Model:
     levels = [stored(one.select("key", "c", F.log10("p").alias("logp")), f"{base}/level-1")]
     weights: list[DataFrame] = []
     for k in range(2, order + 1):
-        kept = spark.sparkContext.broadcast(bits(levels[-1].where("c > 1"), "key", MAP_BITS))
 
-        def pick(names, there, k=k, kept=kept):
-            """N-grams of k words whose parts occur twice; the others are single, and counted by what is left of all."""
+        def pick(names, there, k=k):
             at = np.flatnonzero(there[k - 1])
-            twice = marked(kept.value, names[k - 2])
-            at = at[twice[at] & twice[at - 1]]
             return names[k - 1][at], names[k - 2][at - 1], names[k - 2][at]
 
         counts = _scan(docs, "ctx long, suf long, c long", k, pick).groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
-        table = stored(counts.where("c > 1"), f"{base}/counts-{k}", free=True)
-        kept.destroy()  # every executor and the driver hold a copy on disk as well
-        times = _counts_of_counts(table)
-        # A text of w words has w + 1 pairs and w triples, its ends included.
-        times[1] = n - (k - 2) * texts - (table.agg(F.sum("c")).first()[0] or 0)
-        d = discounts(times, 2)
+        table = stored(counts, f"{base}/counts-{k}", free=True)
+        d = discounts(_counts_of_counts(table), 1)
         lower = levels[-1]
         table = table.join(lower.select(F.col("key").alias("suf"), F.col("logp").alias("suf_logp")), "suf")
         table = table.join(lower.select(F.col("key").alias("ctx"), F.col("c").alias("ctx_c")), "ctx").withColumn("mass", _factor(d, "c") * F.col("c"))

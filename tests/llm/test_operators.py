@@ -265,6 +265,18 @@ def test_katz_scores(spark, corpus, tmp_path, nothing):
         assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in mine), rel_tol=1e-9)
 
 
+def test_katz_keeps_what_occurs_once(spark, tmp_path):
+    texts = ["the red fox ran home", "the red fox ran off", "a quiet owl slept", "the red hen slept"]
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = katz_lm.train(train, f"file://{tmp_path}/katz")
+    for k in (2, 3):
+        grams = Counter(g for t in texts for s in [["\n", *t.split(), "\n"]] for g in zip(*(s[i:] for i in range(k)), strict=False))
+        assert sorted(r["c"] for r in model.levels[k - 1].collect()) == sorted(grams.values()) and 1 in grams.values()
+    ask = spark.createDataFrame([(0, "a quiet owl slept", True), (1, "owl a slept quiet", True)], "doc_id long, text string, held_out boolean")
+    got = {r["doc_id"]: r for r in katz_lm.score(ask, model).collect()}
+    assert got[0]["base_score"] == pytest.approx(got[1]["base_score"]) and got[0]["score"] > got[1]["score"] + 1  # a passage with one training copy
+
+
 def test_katz_without_training(spark, nothing, tmp_path):
     none = nothing.withColumn("held_out", F.lit(True))
     model = katz_lm.train(none, f"file://{tmp_path}/katz")
