@@ -19,6 +19,7 @@ from corpusloom.operators import search as S
 from corpusloom.operators import sections as X
 from corpusloom.operators import triage as R
 from corpusloom.plans import corpus as K
+from corpusloom.queries import QUERIES
 from corpusloom.sources import files as SF
 from corpusloom.sources import markdown as MD
 from corpusloom.sources import office as O
@@ -112,6 +113,13 @@ def test_row_pieces_repeat_header_and_one_row(spark):
     assert sum(map(len, rows)) == 30 + len(rows) - 1
 
 
+def test_table_pieces_have_every_order(spark, tmp_path):
+    orders = spark.range(6000).selectExpr("id AS o_orderkey", "id % 600 AS o_custkey", "id / 7 AS o_totalprice")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["win17_table_pieces"](spark, str(tmp_path)).collect()
+    assert sum(r["rows"] - (r["piece"] > 0) for r in got) == 6000 and max(r["piece"] for r in got) > 0  # later pieces repeat a row
+
+
 # --- blocks, markdown, files ----------------------------------------------------------------
 def test_anchored_blocks_round_trip(spark):
     rows = [("d", i, 1 + i // 2, "paragraph", None, f"text {i}\n\nmore") for i in range(5)]
