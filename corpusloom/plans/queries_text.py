@@ -66,9 +66,9 @@ def margin_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("txt_normalized_markdown")
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaders, tables after text and blank runs, planted into documents; a second pass changes nothing."""
+    """Leaders, tables after text and blank runs, planted behind whole documents; a second pass changes nothing."""
     d = K.table(spark, sf_dir, "documents")
-    planted = F.concat(F.substring("text", 1, 200), F.lit("\n| a | b |\n| --- | --- |\n\n\n\nIntro ........ 3 Scope ........ 14 Rules ..... 20\n"))
+    planted = F.concat("text", F.lit("\n| a | b |\n| --- | --- |\n\n\n\nIntro ........ 3 Scope ........ 14 Rules ..... 20\n"))
     once = T.normalized_markdown(planted)
     return d.select("doc_id", once.alias("markdown")).withColumn("stable", F.col("markdown") == T.normalized_markdown(F.col("markdown")))
 

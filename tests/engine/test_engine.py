@@ -140,6 +140,13 @@ def test_normalized_markdown(spark):
     assert one(spark, T.normalized_markdown(F.lit(got))) == got
 
 
+def test_markdown_deep_in_documents(spark, tmp_path):
+    text = "word " * 100 + "\nOne ..... 1 Two ....... 22 Three .... 3\nt\n| a |\n| - |\n\n\n\nend\n" + "word " * 100
+    spark.createDataFrame([(0, text, "s"), (3, text, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["txt_normalized_markdown"](spark, str(tmp_path)).collect()
+    assert all(r["stable"] and "One … 1\nTwo … 22\nThree … 3\nt\n\n| a |\n| - |\n\nend" in r["markdown"] and "Scope … 14" in r["markdown"] for r in got)
+
+
 def test_markdown_blocks():
     text = "# T\npara\nmore\n\n- a\n- b\n  c\n\n```\n# no\n\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n\nTitle\n=====\n<!-- block=x -->\n"
     assert [k for k, _ in MD.blocks_of(text)] == ["heading", "paragraph", "list", "paragraph", "table", "heading", "paragraph"]
