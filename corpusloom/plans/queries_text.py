@@ -77,7 +77,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = K.documents(spark, sf_dir)
     a, b = (F.col("doc_id") % 4 + 1).cast("string"), (F.col("doc_id") % 4 + 7).cast("string")
-    note = F.concat(F.lit("> INCOMPLETE — page(s) "), b, F.lit(", "), a, F.lit(" have no text.\n"), F.substring("body", 1, 100), F.lit("\nINCOMPLETE — page(s) "), a)
+    note = F.concat(F.lit("> INCOMPLETE — page(s) "), b, F.lit(", "), a, F.lit(" have no text.\n"), F.col("body"), F.lit("\nINCOMPLETE — page(s) "), a)
     return d.select("doc_id", F.array_join(T.incomplete_pages(note, F.col("source_format")).cast("array<string>"), ",").alias("pages"))
 
 

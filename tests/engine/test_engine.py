@@ -147,6 +147,13 @@ def test_markdown_deep_in_documents(spark, tmp_path):
     assert all(r["stable"] and "One … 1\nTwo … 22\nThree … 3\nt\n\n| a |\n| - |\n\nend" in r["markdown"] and "Scope … 14" in r["markdown"] for r in got)
 
 
+def test_notes_deep_in_documents(spark, tmp_path):
+    text = "word " * 100 + "\nINCOMPLETE — page(s) 99, 98 lost\n" + "word " * 100
+    spark.createDataFrame([(0, text, "s"), (3, text, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = {r["doc_id"]: r["pages"] for r in QUERIES["txt_incomplete_pages"](spark, str(tmp_path)).collect()}
+    assert pages == {0: "1,7,98,99", 3: ""}
+
+
 def test_markdown_blocks():
     text = "# T\npara\nmore\n\n- a\n- b\n  c\n\n```\n# no\n\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n\nTitle\n=====\n<!-- block=x -->\n"
     assert [k for k, _ in MD.blocks_of(text)] == ["heading", "paragraph", "list", "paragraph", "table", "heading", "paragraph"]
