@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +24,63 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder below ``spark.checkpoint.dir``, deleted when the application ends.
+
+    Where the session names no such folder, a local master gets a temporary one; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where, fs = _hadoop(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots written as two underscores) for the actions inside; the caller's come back at the end."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
 
+#: Arrow batches of at most so many bytes: long texts make the default of 10000 rows too large for a worker.
+BATCH_BYTES = 8 << 20
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Arrow batches of at most ``size`` bytes from here on: long texts make the default of 10000 rows too large for a worker."""
+
+def at_work(spark: SparkSession):
+    """For an operator's own actions: small Arrow batches, and shuffle files that go with the action that wrote them."""
+    return settings(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Arrow batches of at most ``size`` bytes from here on: for results that run when the caller wants them."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(str(spark.conf.get(key)).rstrip("b")) > size:
         spark.conf.set(key, str(size))
 
 
 def tidy(run):
-    """``run`` for mapInArrow, giving memory back at its end: later tasks of other stages use the same Python workers."""
+    """``run`` for mapInArrow, giving Arrow's unused memory back at its end: later tasks of other stages use the same Python workers."""
 
     def wrapped(batches):
         try:
@@ -53,29 +95,22 @@ def tidy(run):
     return wrapped
 
 
-def stored(df: DataFrame, path: str, free: bool = False) -> DataFrame:
+def stored(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` and read it back: lineage ends here, and a lost executor costs no recomputation of what came before.
 
-    ``free``: let Spark delete the shuffle files behind it at once.
+    The shuffle files of the write are deleted with it.
     """
-    df.write.mode("overwrite").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if free:
-        del df
-        dropped(out.sparkSession)
-    return out
+    spark = df.sparkSession
+    with at_work(spark):
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that nothing reads any more, and let Spark delete shuffle files without a reader."""
-    jvm = spark.sparkContext._jvm
+    """Delete tables that nothing reads any more."""
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    for _ in range(2):  # the first collection lets go of plans, the second of the shuffles that only they held
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.2)
+        where, fs = _hadoop(spark, path)
+        fs.delete(where, True)
 
 
 def filesystem(uri: str):
@@ -101,21 +136,6 @@ NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-#: Two odd bases for polynomial hashes modulo 2 ** 64.
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse."""
-    if which not in _powers or len(_powers[which][0]) < n:
-        size = max(n + (n >> 3), 1 << 20)
-        up, down = np.full(size, np.uint64(_BASES[which])), np.full(size, np.uint64(pow(_BASES[which], -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _powers[which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[which][0][:n], _powers[which][1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (the finaliser of SplitMix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -126,6 +146,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Words longer than this are hashed one at a time, by BLAKE2b.
+LONG = 64
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+
+def spread(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each stretch of ``buf``, which has 8 bytes to spare at its end.
+
+    Eight bytes at a time go through a mixing step that is not linear, so no family of words collides by construction;
+    memory goes with the number of stretches and not with their bytes. Stretches of up to 8 bytes and equal length never collide.
+    """
+    size = ends - starts
+    eight = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+    out = mixed(size.astype(np.uint64) * _SEEDS[0] + _SEEDS[int(second)])
+    which, at, left = np.arange(len(starts)), starts, size
+    if len(size) and size.max() > LONG:
+        which = np.flatnonzero(size <= LONG)
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = np.frombuffer(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, salt=b"2" if second else b"1").digest(), dtype=np.uint64)[0]
+        at, left = starts[which], size[which]
+    first = len(which) == len(out)
+    while len(which):
+        block = eight[at] & _KEEP[np.minimum(left, 8)]
+        if first:
+            out = mixed(out ^ block)
+        else:
+            out[which] = mixed(out[which] ^ block)
+        more = np.flatnonzero(left > 8)
+        which, at, left, first = which[more], at[more] + 8, left[more] - 8, False
+    return out
+
+
 class Words:
     """The words of a run of texts: byte spans, 64-bit hashes, and where each text's words begin.
 
@@ -133,22 +186,18 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], separators: np.ndarray = BLANKS, lower: bool = True):
-        buf = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+        buf = np.frombuffer(b" " + b" ".join(texts) + b" " * 9, dtype=np.uint8)
         self.buf = LOWER[buf] if lower else buf
         sep = separators[self.buf]
         edge = np.flatnonzero(sep[1:] != sep[:-1]) + 1
-        self.starts, self.ends = edge[0::2], edge[1::2]
+        self.starts, self.ends = np.ascontiguousarray(edge[0::2]), np.ascontiguousarray(edge[1::2])
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         self.at = np.concatenate(([1], 1 + np.cumsum(lengths)))
         self.first = np.searchsorted(self.starts, self.at)
 
     def hashes(self, second: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; ``second``: another one, independent of the first."""
-        up, down = _power_tables(len(self.buf), int(second))
-        total = np.empty(len(self.buf) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        return mixed((total[self.ends] - total[self.starts]) * down[self.starts])
+        """A 64-bit hash of each word; ``second``: another one."""
+        return spread(self.buf, self.starts, self.ends, second)
 
 
 def text_hash(word: bytes, lower: bool = True) -> int:
@@ -173,6 +222,20 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def slices(text: bytes, size: int) -> list[tuple[int, int]]:
+    """``text`` in stretches of about ``size`` bytes, cut before white space; a longer word stays whole."""
+    cuts = [0]
+    while len(text) - cuts[-1] > size:
+        found = _BLANK.search(text, cuts[-1] + size)
+        if found is None:
+            break
+        cuts.append(found.start())
+    return list(zip(cuts, [*cuts[1:], len(text)], strict=True))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

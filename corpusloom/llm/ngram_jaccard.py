@@ -126,7 +126,6 @@ def shared_incidence(docs: DataFrame, sets: DataFrame, base: str, per_cent: int
     for r in range(rounds):
         rows = incidence(docs, several, r, rounds).withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("times > 1")
         parts.append(stored(rows, f"{base}/shared-{r}"))
-        dropped(spark)
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

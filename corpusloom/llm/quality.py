@@ -54,7 +54,7 @@ class _Tokens(Words):
     """Words and marks rather than words between separators."""
 
     def __init__(self, texts: list[bytes]):
-        raw = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+        raw = np.frombuffer(b" " + b" ".join(texts) + b" " * 9, dtype=np.uint8)
         kind = _KIND[raw]
         edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
         spans = kind[edge] != 0

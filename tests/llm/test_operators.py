@@ -24,6 +24,13 @@ def split_words(text, pattern=rb"[^\x20\x09-\x0D]+"):
     return re.findall(pattern, (text or "").encode().translate(LOWER))
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
 # --- shared ---------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=6))
@@ -213,77 +220,116 @@ def test_quality_learns_shapes(spark, nothing):
 
 
 # --- 5 --------------------------------------------------------------------------------------
-def test_katz_scores(spark, corpus, tmp_path, nothing):
-    rng = random.Random(4)
-    rows = [(i, " ".join(f"v{min(int(rng.paretovariate(1)), 30)}" for _ in range(rng.randrange(0, 40)))) for i in range(150)] + [(900, None), (901, "zzz unseen V1"), (901, "zzz unseen V1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", common.remainder(F.col("doc_id"), 5) == 1)
-    model = katz_lm.train(df.where("NOT held_out"), f"file://{tmp_path}/katz")
-    got = katz_lm.score(df, model).collect()
-    few = katz_lm.score(df, model, hot=5).collect()  # most terms by way of the shuffle
-    key = lambda r: (r["doc_id"], r["n_tokens"], r["n_known"])
-    assert [key(r) for r in sorted(got, key=key)] == [key(r) for r in sorted(few, key=key)]
-    assert np.allclose([r["score"] for r in sorted(got, key=key)], [r["score"] for r in sorted(few, key=key)])
-    # the recursion itself, from the tables
-    names = {}
-    tables = [{r["key"]: r for r in level.collect()} for level in model.levels]
-    weights = [{r["ctx"]: r["loga"] for r in w.collect()} for w in model.weights]
-    vocabulary = sorted({w for i, t in rows for w in split_words(t)} | {b"\n"})
-
-    def name(gram):
-        if gram not in names:
-            if len(gram) == 1:
-                names[gram] = int(np.int64(katz_lm.END.view(np.int64))) if gram[0] == b"\n" else int(np.uint64(common.text_hash(gram[0])).view(np.int64))
-            else:
-                a, b = (np.array([name(g)], dtype=np.int64).view(np.uint64) for g in (gram[:-1], gram[1:]))
-                names[gram] = int(katz_lm._joined(a, b, len(gram)).view(np.int64)[0])
-        return names[gram]
-
-    def logp(context, word):
+class BruteKatz:
+    """Katz from plain counts of the texts: probabilities by the recursion over dictionaries."""
+
+    def __init__(self, texts):
+        seqs = [[b"\n", *split_words(t), b"\n"] for t in texts]
+        self.counts = [Counter(w for s in seqs for w in s[1:]), *(Counter(g for s in seqs for g in zip(*(s[i:] for i in range(k)), strict=False)) for k in (2, 3))]
+        self.counts[0] = Counter({(w,): c for w, c in self.counts[0].items()})
+        self.n, self.v = sum(self.counts[0].values()), len(self.counts[0])
+        self.d = [katz_lm.discounts(Counter(c.values()), 1) for c in self.counts]
+        self.after = defaultdict(list)
+        for table in self.counts[1:]:
+            for g in table:
+                self.after[g[:-1]].append(g[-1])
+        known = sum(self.d[0].get(c, 1) * c / self.n for c in self.counts[0].values()) if self.n else 0.0
+        self.scale, self.unknown = (1 - 0.5 / self.n, 0.5 / self.n) if self.n and 1 - known < 0.5 / self.n else (1.0, 1 - known)
+        self.weights = {}
+
+    def mass(self, g):
+        c = self.counts[len(g) - 1][g]
+        return self.d[len(g) - 1].get(c, 1) * c
+
+    def weight(self, context):
+        """(what masses are shares of, the backoff weight)"""
+        if context not in self.weights:
+            c = self.counts[len(context) - 1][context]
+            mass, lower = math.fsum(self.mass((*context, w)) for w in self.after[context]), math.fsum(self.p(context[1:], w) for w in self.after[context])
+            of = c + 1 if mass > c - 1e-6 else c
+            self.weights[context] = of, (1 - mass / of) / (1 - lower)
+        return self.weights[context]
+
+    def p(self, context, word):
         if not context:
-            row = tables[0].get(name((word,)))
-            return row["logp"] if row else model.unknown
-        row = tables[len(context)].get(name((*context, word)))
-        if row:
-            return row["logp"]
-        return weights[len(context) - 1].get(name(context), 0.0) + logp(context[1:], word)
+            return self.mass((word,)) / self.n * self.scale if (word,) in self.counts[0] else self.unknown
+        if (*context, word) in self.counts[len(context)]:
+            return self.mass((*context, word)) / self.weight(context)[0]
+        return (self.weight(context)[1] if self.after[context] else 1.0) * self.p(context[1:], word)
 
-    for r in got:
-        if r["doc_id"] not in (5, 6, 17, 900, 901):
-            continue
-        seq = [b"\n", *split_words(dict(rows)[r["doc_id"]]), b"\n"]
-        assert math.isclose(r["score"], sum(logp(tuple(seq[max(0, i - 2) : i]), seq[i]) for i in range(1, len(seq))), rel_tol=1e-9)
-    known = [w for w in vocabulary if name((w,)) in tables[0]]
-    for context in [(b"v1",), (b"v2", b"v1"), (b"v1", b"v1"), (b"\n",), (b"v30",)]:  # every distribution sums to 1
-        assert math.isclose(sum(10 ** logp(context, w) for w in known) + 10 ** logp(context, b"never"), 1.0, rel_tol=1e-9)
-    # counts against a plain count
-    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*split_words(t), b"\n"])
-    n, v = sum(counts.values()), len(counts)
-    assert (model.n, model.v) == (n, v)
-    for r in got:
-        mine = [*split_words(dict(rows)[r["doc_id"]]), b"\n"]
-        assert r["n_tokens"] == len(mine) and r["n_known"] == sum(counts[w] > 0 for w in mine)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in mine), rel_tol=1e-9)
+    def score(self, text):
+        s = [b"\n", *split_words(text), b"\n"]
+        return sum(math.log10(self.p(tuple(s[max(0, i - 2) : i]), s[i])) for i in range(1, len(s)))
+
+
+def katz_rows(extra=()):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"v{min(int(rng.paretovariate(1)), 30)}" for _ in range(rng.randrange(0, 40)))) for i in range(150)]
+    rows += [(900, None), (901, "zzz unseen V1"), (901, "zzz unseen V1"), (None, "v1 v2"), (902, "ab" * 2000 + " v1 " + "ba" * 2000)]
+    return rows + [(3000 + i, t) for i, t in enumerate(extra)]
+
+
+@pytest.mark.parametrize("tokens, keys, size", [(katz_lm.TOKENS, katz_lm.KEYS, katz_lm.SLICE), (300, 200, 4096), (40, 20, 90)])
+def test_katz_scores(spark, tmp_path, tokens, keys, size):
+    """In one chunk and bucket, in several, and with texts cut into slices: as the recursion over plain counts."""
+    rows = katz_rows([" ".join(f"v{i % 7}" for i in range(700)), "seen once only here"])
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string").withColumn("train", F.coalesce(common.remainder(F.col("doc_id"), 5) != 1, F.lit(True)))
+    found, model = katz_lm.score(df.repartition(3), f"file://{tmp_path}/katz", tokens, keys, size)
+    got = found.collect()
+    train = [t for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
+    brute = BruteKatz(train)
+    assert (model.n, model.v) == (brute.n, brute.v) and len(got) == len(rows)
+    for k in range(3):  # counts of counts of every order
+        times = Counter(brute.counts[k].values())
+        assert model.times[k] == {r: times[r] for r in range(1, katz_lm.K + 2)} and times[1] > 0
+    for (i, t), r in zip(sorted(rows, key=str), sorted(got, key=lambda r: str((r["doc_id"], dict(rows)[r["doc_id"]]))), strict=True):
+        mine = [*split_words(t), b"\n"]
+        assert (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, len(mine), sum((w,) in brute.counts[0] for w in mine), brute.n)
+        assert math.isclose(r["base_score"], sum(math.log10((brute.counts[0][w,] + 0.5) / (brute.n + 0.5 * (brute.v + 1))) for w in mine), rel_tol=1e-9)
+        assert math.isclose(r["score"], brute.score(t), rel_tol=1e-9)
+    vocabulary = [w for (w,) in brute.counts[0]]
+    for context in [(b"v1",), (b"v2", b"v1"), (b"v1", b"v1"), (b"\n",), (b"v30",), (b"v3", b"v4")]:  # every distribution sums to 1
+        assert math.isclose(sum(brute.p(context, w) for w in vocabulary) + brute.p(context, b"never"), 1.0, rel_tol=1e-9)
 
 
 def test_katz_keeps_what_occurs_once(spark, tmp_path):
     texts = ["the red fox ran home", "the red fox ran off", "a quiet owl slept", "the red hen slept"]
-    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model = katz_lm.train(train, f"file://{tmp_path}/katz")
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(10, "a quiet owl slept", False), (11, "owl a slept quiet", False)]
+    found, model = katz_lm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), f"file://{tmp_path}/katz")
     for k in (2, 3):
         grams = Counter(g for t in texts for s in [["\n", *t.split(), "\n"]] for g in zip(*(s[i:] for i in range(k)), strict=False))
-        assert sorted(r["c"] for r in model.levels[k - 1].collect()) == sorted(grams.values()) and 1 in grams.values()
-    ask = spark.createDataFrame([(0, "a quiet owl slept", True), (1, "owl a slept quiet", True)], "doc_id long, text string, held_out boolean")
-    got = {r["doc_id"]: r for r in katz_lm.score(ask, model).collect()}
-    assert got[0]["base_score"] == pytest.approx(got[1]["base_score"]) and got[0]["score"] > got[1]["score"] + 1  # a passage with one training copy
+        times = Counter(grams.values())
+        assert model.times[k - 1] == {r: times[r] for r in range(1, katz_lm.K + 2)} and times[1]
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert got[10]["base_score"] == pytest.approx(got[11]["base_score"]) and got[10]["score"] > got[11]["score"] + 1  # a passage with one training copy
 
 
 def test_katz_without_training(spark, nothing, tmp_path):
-    none = nothing.withColumn("held_out", F.lit(True))
-    model = katz_lm.train(none, f"file://{tmp_path}/katz")
-    one = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held_out boolean")
-    r = katz_lm.score(one, model).first()
+    one = spark.createDataFrame([(1, "a b", False)], "doc_id long, text string, train boolean")
+    r = katz_lm.score(one, f"file://{tmp_path}/one")[0].first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) == (3, 0, 0, 0.0)
-    assert katz_lm.score(none, model).count() == 0
+    assert katz_lm.score(nothing.withColumn("train", F.lit(True)), f"file://{tmp_path}/none")[0].count() == 0
+
+
+def test_words_that_polynomials_confuse(spark, tmp_path):
+    """Thue-Morse words and their complements: equal under any polynomial hash modulo a power of two from 1024 letters on."""
+    for n in (64, 1024, 2048, 4096):
+        a = thue_morse(n)
+        b = a.translate(str.maketrans("ab", "ba"))
+        w = common.Words([a.encode(), b.encode()])
+        assert len(set(w.hashes().tolist()) | set(w.hashes(second=True).tolist())) == 4
+        docs = spark.createDataFrame([(2, f"{a} x y z q"), (3, f"{b} x y z q")], "doc_id long, text string")
+        assert {r["component_id"] for r in ngram_jaccard.link(docs).collect()} == {2, 3}
+        found = {r["doc_id"]: r for r in token_parquet.encoded(docs).collect()}
+        whole = token_parquet.WordEncoder(token_parquet.definition_of(), 2).tokenizer
+        for r in docs.collect():
+            ids = [*whole.encode(r["text"], add_special_tokens=False).ids, 2]
+            assert found[r["doc_id"]]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        hits = decontaminate.match_benchmark(docs, spark.createDataFrame([("i", a)], "item_id string, text string"))
+        assert {r["doc_id"]: r["n_hit"] for r in hits.collect()} == {2: 1, 3: 0}
+    learn = docs.withColumn("train", F.col("doc_id") == 2)
+    scored = {r["doc_id"]: r["n_known"] for r in katz_lm.score(learn, f"file://{tmp_path}/katz")[0].collect()}
+    assert scored == {2: 6, 3: 5}
 
 
 def test_discounts():
