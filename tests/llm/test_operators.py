@@ -413,17 +413,42 @@ def test_decontaminate(spark, corpus, nothing):
     docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, n_hit string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_hits(texts, items)
-    for limit in (decontaminate.TEST_BYTES, 600):  # in one part and in several
-        got = decontaminate.match_benchmark(docs, bench, test_bytes=limit, shard=20_000).orderBy("doc_id").collect()
+    for limit, shard in ((decontaminate.TEST_BYTES, 20_000), (600, 20_000), (decontaminate.TEST_BYTES, 700)):  # in one part, in several, and texts in slices
+        got = decontaminate.match_benchmark(docs, bench, test_bytes=limit, shard=shard).orderBy("doc_id").collect()
         assert [(r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got] == want
     for r in got:
         assert (r["longest"] > 0) == (r["n_hit"] > 0) and r["longest"] <= r["n_hit"]
-    kept = decontaminate.remove_contaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in enumerate(want) if not w[3]]
+    for limit in (decontaminate.TEST_BYTES, 600):
+        kept = decontaminate.remove_affected(docs, bench, limit)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in enumerate(want) if not w[1]]
     assert decontaminate.match_benchmark(docs, bench.where("false")).where("n_hit > 0").count() == 0
     assert decontaminate.match_benchmark(nothing, bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 31, 127, 511])
+def test_vocabularies_of_every_width(n):
+    """Items of one word each, and longer ones over the same words: all found, wherever they stand."""
+    items = [(str(i), f"a{i:03}") for i in range(n)] + [(f"w{i}", " ".join(f"a{(i + k) % n:03}" for k in range(20))) for i in range(0, n, 50)]
+    texts = [f"x {t} y" for _, t in items] + [t for _, t in items] + [" ".join(f"a{i:03}" for i in range(n)), "x y"]
+    test = decontaminate.test_set([(i, t.encode()) for i, t in items])
+    n_words, spans, found, _ = decontaminate.matches([t.encode() for t in texts], test)
+    got = [(w, sum(s[1::2]) - sum(s[0::2]), sorted(i)) for w, s, i in zip(n_words, spans, found, strict=True)]
+    assert got == [x[:3] for x in brute_hits(texts, items)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), max_size=5), st.lists(st.lists(st.sampled_from("abcd"), max_size=60), min_size=1, max_size=4), st.sampled_from([20, 1000]))
+def test_hits_of_repetitive_texts(items, texts, shard):
+    items, texts = [(str(i), " ".join(x)) for i, x in enumerate(items)], [" ".join(x) for x in texts]
+    test = decontaminate.test_set([(i, t.encode()) for i, t in items])
+    n_words, spans, found, longest = decontaminate.matches([t.encode() for t in texts], test, shard)
+    got = [(w, sum(s[1::2]) - sum(s[0::2]), sorted(i)) for w, s, i in zip(n_words, spans, found, strict=True)]
+    assert got == [x[:3] for x in brute_hits(texts, items)]
+    for t, n, x in zip(texts, longest, spans, strict=True):
+        runs = [k for _, i in items for a in range(len(i.split())) for k in range(min(13, len(i.split())), len(i.split()) - a + 1) if f" {' '.join(i.split()[a : a + k])} " in f" {t} "]
+        assert n == max(runs, default=0) or not x
+
+
 def test_longest_match():
     item = [f"b{i}" for i in range(30)]
     text = ["x"] * 4 + item[3:25] + ["y"] + item[:14]
