@@ -179,6 +179,17 @@ def spread(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool =
     return out
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, which one stands at each place)."""
+    order = np.argsort(x)
+    values = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    begins, back = np.flatnonzero(new), np.empty(len(x), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return values[begins], order[begins], back
+
+
 class Words:
     """The words of a run of texts: byte spans, 64-bit hashes, and where each text's words begin.
 

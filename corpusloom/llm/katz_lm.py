@@ -9,15 +9,17 @@ of sorted 64-bit names for each (chunk, bucket of the hash space), never a row f
 
 1. a chunk asks for each of its distinct n-grams once, with the times it holds it in training documents; the task of a bucket
    merges what all chunks ask, whatever the number of chunks, and answers with the count over the corpus. It also tells which one
-   chunk owns the n-gram (so that sums over distinct n-grams count it once) and whether no other chunk holds it;
+   chunk owns the n-gram (so that sums over distinct n-grams count it once), whether no other chunk holds it, and whether
+   any document that is not learned from does;
 2. an n-gram with a part that no other chunk holds is counted where it stands, without asking. Every n-gram is counted, also those
    that occur once;
 3. Good-Turing factors come from the counts of counts over all buckets;
 4. a context's weight is (1 - its discounted mass) / (1 - the lower order's mass of the same words): chunks send the sums over the
    n-grams they own, buckets add them and answer with the weight. So every conditional distribution over the vocabulary
-   and one unknown word sums to 1.
+   and one unknown word sums to 1. Contexts that stand in one chunk alone are weighed there, and weights that no text can need (every n-gram
+   of a learned text is there) are not made.
 
-The tables, partitioned by bucket, then by chunk, hold counts and weights; at the end each chunk evaluates, for each distinct n-gram
+Counts and weights are written by chunk, and a table says where they stand; at the end each chunk evaluates, for each distinct n-gram
 of its tokens, the recursion log p(w | h) = log p*(w | h) if hw was seen, else log a(h) + log p(w | h'). No task holds more
 than a chunk or a bucket (about ``KEYS`` names); frequent n-grams are one name a chunk.
 
@@ -28,6 +30,7 @@ and base_score counts V = N = 0; rows that repeat a doc_id are scored one by one
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, as_bytes, at_work, clean_select, documents, dropped, mixed, remainder, shared_dir, slices, stored, tidy
+from corpusloom.llm.common import Words, as_bytes, at_work, clean_select, distinct, documents, dropped, filesystem, mixed, remainder, shared_dir, slices, stored, tidy
 
 #: Counts above this are not discounted.
 K = 5
@@ -59,8 +62,35 @@ def joined(first: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
     return mixed(first * np.uint64(0xFF51AFD7ED558CCD) + last * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(order))
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as hold them all."""
+    if a.dtype.kind not in "iu" or a.min(initial=0) < 0:
+        return a
+    most = int(a.max(initial=0))
+    return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The first bytes of all values, then the second ones, ...: what is alike compresses."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
+
+
+def _values(planes: np.ndarray, dtype) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    return pickle.dumps([np.ascontiguousarray(a) for a in arrays], protocol=5)
+    return pickle.dumps([_narrow(np.ascontiguousarray(a)) for a in arrays], protocol=5)
+
+
+def _pack_keyed(key: np.ndarray, *arrays: np.ndarray) -> bytes:
+    """With sorted names first, as their differences."""
+    return pickle.dumps([_planes(np.diff(key, prepend=np.uint64(0))), *(_narrow(a) for a in arrays)], protocol=5)
+
+
+def _unpack_keyed(blob: bytes) -> list[np.ndarray]:
+    planes, *arrays = pickle.loads(blob)
+    return [np.cumsum(_values(planes, np.uint64), dtype=np.uint64), *arrays]
 
 
 def _row(bucket: int, chunk: int, kind: int, blob: bytes | None, tally: list[int] | None = None) -> pa.RecordBatch:
@@ -69,6 +99,36 @@ def _row(bucket: int, chunk: int, kind: int, blob: bytes | None, tally: list[int
 
 
 # --- chunks ----------------------------------------------------------------------------------
+class _Blobs:
+    """Compressed blobs in a file of the task's own; where each stands counts only through the row that says so."""
+
+    def __init__(self, folder: str):
+        self.folder, self.sink = folder, None
+
+    def add(self, *arrays: np.ndarray) -> bytes:
+        if self.sink is None:
+            fs, path = filesystem(self.folder)
+            fs.create_dir(path)
+            self.name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+            self.sink = fs.open_output_stream(f"{path}/{self.name}")
+        whole = _pack(*arrays)
+        small = pa.compress(whole, codec="zstd", asbytes=True)
+        where = pickle.dumps((f"{self.folder}/{self.name}", self.sink.tell(), len(small), len(whole)))
+        self.sink.write(small)
+        return where
+
+    def close(self) -> None:
+        if self.sink is not None:
+            self.sink.close()
+
+
+def _read(where: bytes) -> list[np.ndarray]:
+    uri, begin, size, whole = pickle.loads(where)
+    fs, path = filesystem(uri)
+    with fs.open_input_file(path) as source:
+        return pickle.loads(pa.decompress(source.read_at(size, begin), whole, codec="zstd", asbytes=True))
+
+
 @dataclass
 class Chunk:
     """Tokens of runs of texts ("segments"), as codes into the sorted hashes of the chunk's distinct words.
@@ -86,18 +146,26 @@ class Chunk:
     lead: np.ndarray
 
     def __post_init__(self) -> None:
+        self.size = self.size.astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.owner = np.repeat(np.arange(len(self.size)), self.size)
         self.place = np.arange(len(self.code)) - self.first[self.owner]
         self.counts = self.place >= self.lead[self.owner]
         self.learns = self.counts & self.train[self.owner]
+        self.held = ~self.train[self.owner]
 
+    def asks(self, at: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """Of n n-grams, those that stand ``at`` tokens: twice the times that the model learns it, and one if another document has it."""
+        times = np.bincount(gram, weights=self.learns[at], minlength=n).astype(np.uint64)
+        return times * np.uint64(2) + (np.bincount(gram, weights=self.held[at], minlength=n) > 0)
 
-def _segments(docs: DataFrame, tokens: int = TOKENS, size: int = SLICE) -> DataFrame:
-    """``docs`` (doc_id, train, text) as chunks."""
+
+def _segments(docs: DataFrame, out: str, tokens: int = TOKENS, size: int = SLICE) -> DataFrame:
+    """Write ``docs`` (doc_id, train, text) as chunks, a file a task; where each stands is a row, and only chunks with a row count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId() << 33, 0
+        files = _Blobs(out)
         held: list[tuple] = []  # (row, doc_id, train, lead tokens, word hashes, ends)
         waiting = 0
 
@@ -106,12 +174,13 @@ def _segments(docs: DataFrame, tokens: int = TOKENS, size: int = SLICE) -> DataF
             parts = []
             for *_, lead, words, ends in held:
                 parts += [lead, words, np.array([END] if ends else [], dtype=np.uint64)]
-            vocab, code = np.unique(np.concatenate(parts), return_inverse=True)
+            vocab, _, code = distinct(np.concatenate(parts))
             lead, sizes = np.array([len(h[3]) for h in held]), np.array([len(h[3]) + len(h[4]) + h[5] for h in held])
             ids = np.array([h[1] or 0 for h in held], dtype=np.int64), np.array([h[1] is not None for h in held])
-            out = _row(0, part + made, 0, _pack(vocab, code.astype(np.int32), np.array([h[0] for h in held]), *ids, np.array([h[2] for h in held]), sizes, lead))
+            columns = [np.array([h[i] for h in held]) for i in (0, 2)]
+            row = _row(0, part + made, 0, files.add(vocab, _planes(code.astype(np.int32)), columns[0], *ids, columns[1], sizes, lead), [len(code), len(vocab)])
             held, waiting, made = [], 0, made + 1
-            return out
+            return row
 
         start, n_rows = np.array([END]), 0
         for batch in batches:
@@ -143,6 +212,7 @@ def _segments(docs: DataFrame, tokens: int = TOKENS, size: int = SLICE) -> DataF
                             yield flush()
         if held:
             yield flush()
+        files.close()
 
     return docs.select("doc_id", "train", "text").mapInArrow(tidy(run), _BLOBS)
 
@@ -154,48 +224,57 @@ def _tally(c: np.ndarray) -> list[int]:
     return [*np.bincount(np.minimum(c, K + 2), minlength=K + 3)[: K + 2].tolist(), len(c), int(c.sum())]
 
 
+#: Of an n-gram: the first of the chunks that learn it gets OWN; ALONE where no other chunk has it; HELD where any document outside the training has it.
+OWN, ALONE, HELD = 1, 2, 4
+
+
 def _counted(blobs: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, ...]], list[int]]:
-    """Answers to (names, times): the corpus's count, and 2 if no other chunk asks plus 1 for the first of the chunks that learn it."""
-    key, times = (np.concatenate(x) for x in zip(*blobs, strict=True))
-    order = np.argsort(key, kind="stable")
-    key, times = key[order], times[order].astype(np.int64)
+    """Answers to (names, ``Chunk.asks``): the corpus's count and flags."""
+    key, asked = (np.concatenate(x) for x in zip(*blobs, strict=True))
+    order = np.argsort(key)
+    key, asked = key[order], asked[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = key[1:] != key[:-1]
     begins = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    total = np.add.reduceat(times, begins)
-    alone = np.diff(np.append(begins, len(key))) == 1
-    flags = (2 * alone[group]).astype(np.uint8)
-    learning = np.flatnonzero(times > 0)
+    total = np.add.reduceat((asked >> 1).astype(np.int64), begins)
+    of_all = ALONE * (np.diff(np.append(begins, len(key))) == 1) + HELD * np.bitwise_or.reduceat((asked & 1).astype(np.uint8), begins)
+    flags = of_all[group].astype(np.uint8)
+    learning = np.flatnonzero(asked > 1)
     head = np.ones(len(learning), dtype=bool)
     head[1:] = group[learning[1:]] != group[learning[:-1]]
-    flags[learning[head]] += 1
+    flags[learning[head]] += OWN
     count, flag = np.empty(len(key), dtype=np.int64), np.empty(len(key), dtype=np.uint8)
     count[order], flag[order] = total[group], flags
-    if total.max(initial=0) < 1 << 32:
-        count = count.astype(np.uint32)
     cuts = np.cumsum([len(b[0]) for b in blobs])[:-1]
     return list(zip(np.split(count, cuts), np.split(flag, cuts), strict=True)), _tally(total)
 
 
 def weight(mass: np.ndarray, lower: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log a, what masses are shares of) of contexts that occur c times.
+    """(log a, 1 or 0) of contexts that occur c times: masses are shares of c, or of c + 1 where the second is 1.
 
-    A context whose mass is all kept counts one occurrence more, so that something is left for other words.
+    So does a context whose mass is all kept, that something is left for other words.
     """
-    of = c + (mass > c - 1e-6)
-    return np.log10((1 - mass / of) / np.maximum(1 - lower, 1e-300)), of.astype(np.float64)
+    plus = (mass > c - 1e-6).astype(np.uint8)
+    return np.log10((1 - mass / (c + plus)) / np.maximum(1 - lower, 1e-300)), plus
+
+
+def _sums_packed(key: np.ndarray, c: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> bytes:
+    some = lower > 0
+    return _pack_keyed(key, c, np.packbits(some), mass[some], lower[some])
 
 
 def _weighed(blobs: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, ...]], None]:
-    """Answers to (names of contexts, their counts, masses and lower masses of what a chunk owns): log a and what masses are shares of."""
-    key, c, mass, lower = (np.concatenate(x) for x in zip(*blobs, strict=True))
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    begins, group = np.flatnonzero(new), np.empty(len(key), dtype=np.int64)
-    group[order] = np.cumsum(new) - 1
-    found = weight(np.add.reduceat(mass[order], begins), np.add.reduceat(lower[order], begins), c[order][begins].astype(np.float64))
+    """Answers to (names of contexts, their counts, masses and lower masses of what a chunk owns): ``weight``."""
+    sums = []
+    for _, c, some, *values in blobs:
+        at = np.flatnonzero(np.unpackbits(some, count=len(c)))
+        both = np.zeros((2, len(c)))
+        both[:, at] = values
+        sums.append(both)
+    key, c, (mass, lower) = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]), np.concatenate(sums, axis=1)
+    _, first, group = distinct(key)
+    found = weight(np.bincount(group, weights=mass), np.bincount(group, weights=lower), c[first].astype(np.int64))
     cuts = np.cumsum([len(b[0]) for b in blobs])[:-1]
     return list(zip(*(np.split(x[group], cuts) for x in found), strict=True)), None
 
@@ -203,10 +282,13 @@ def _weighed(blobs: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, ...]
 _REDUCERS = {1: _counted, 2: _counted, 3: _counted, 11: _weighed, 12: _weighed}
 
 
-def _answers(requests: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Requests (bucket, chunk, kind, names and values) merged by kind and bucket; rows of the local tallies pass through."""
+def _exchanged(requests: DataFrame, path: str, buckets: int, chunks: int) -> DataFrame:
+    """Requests (bucket, chunk, kind, names and values) merged by kind and bucket, and each chunk's answers written as one blob a kind.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Returns where those stand; rows of tallies (chunk below 0) pass through.
+    """
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, list[np.ndarray]]] = []
         held_key = None
 
@@ -216,24 +298,42 @@ def _answers(requests: DataFrame, path: str, buckets: int) -> DataFrame:
             for (chunk, _), answer in zip(held, answers, strict=True):
                 yield _row(bucket, chunk, kind, _pack(*answer))
             if tally:
-                yield _row(bucket, -1, kind, None, tally)
+                yield _row(bucket, -1 - bucket, kind, None, tally)
 
         for batch in batches:
             for bucket, chunk, kind, blob, tally in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if blob is None:
-                    yield _row(bucket, -1, kind, None, tally)
+                    yield _row(bucket, chunk, kind, None, tally)
                     continue
                 if held and held_key != (kind, bucket):
                     yield from done()
                     held = []
                 held_key = (kind, bucket)
-                held.append((chunk, pickle.loads(blob)))
+                held.append((chunk, _unpack_keyed(blob)))
         if held:
             yield from done()
 
-    n = max(buckets, int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = requests.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
-    return stored(rows.mapInArrow(tidy(run), _BLOBS), path, "zstd")
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, held, held_key = _Blobs(f"{path}-files"), [], None
+        done = lambda: _row(0, *held_key, files.add(*(np.concatenate(x) for x in zip(*held, strict=True))))
+        for batch in batches:
+            for bucket, chunk, kind, blob, tally in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if blob is None:
+                    yield _row(bucket, chunk, kind, None, tally)
+                    continue
+                if held and held_key != (chunk, kind):
+                    yield done()
+                    held = []
+                held_key = (chunk, kind)
+                held.append(pickle.loads(blob))
+        if held:
+            yield done()
+        files.close()
+
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = requests.repartition(max(n, buckets), "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(tidy(reduced), _BLOBS)
+    rows = rows.repartition(max(n, chunks // 4), "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(tidy(gathered), _BLOBS)
+    return stored(rows, path)
 
 
 def _requests(kind: int, chunk: int, log2_buckets: int, key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -242,37 +342,37 @@ def _requests(kind: int, chunk: int, log2_buckets: int, key: np.ndarray, *values
         return
     bucket = (key >> np.uint64(64 - log2_buckets)).astype(np.int64)
     cuts = np.searchsorted(bucket, np.arange((1 << log2_buckets) + 1))
+    pack = _sums_packed if kind > 10 else _pack_keyed
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         at = slice(cuts[b], cuts[b + 1])
-        yield _row(b, chunk, kind, _pack(key[at], *(v[at] for v in values)))
+        yield _row(b, chunk, kind, pack(key[at], *(v[at] for v in values)))
 
 
 def _over_chunks(tables: list[DataFrame], chunks: int, schema: str, each) -> DataFrame:
-    """``each(chunk number, Chunk, answers by kind)`` of every chunk, its answers joined in the order of their buckets."""
+    """``each(chunk number, Chunk, answers by kind)`` of every chunk; ``tables`` say where it and its answers stand."""
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t.where("chunk >= 0"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunk, answers = None, None, {}
-        got = lambda: {k: [np.concatenate(x) for x in zip(*v, strict=True)] for k, v in answers.items()}
+        number, found = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            vocab, code, *rest = found.pop(0)
+            yield from each(number, Chunk(vocab, _values(code, np.int32), *rest), found)
+
         for batch in batches:
             for mine, kind, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if mine != number:
-                    if chunk is not None:
-                        yield from each(number, chunk, got())
-                    number, chunk, answers = mine, None, {}
-                if kind == 0:
-                    chunk = Chunk(*pickle.loads(blob))
-                else:
-                    answers.setdefault(kind, []).append(pickle.loads(blob))
-        if chunk is not None:
-            yield from each(number, chunk, got())
-
-    if len(tables) > 1:
-        n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks // 4)
-        rows = rows.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    return rows.mapInArrow(tidy(run), schema)
+                    if found:
+                        yield from done()
+                    number, found = mine, {}
+                found[kind] = _read(blob)
+        if found:
+            yield from done()
+
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks // 4)
+    return rows.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tidy(run), schema)
 
 
 # --- counts and weights ----------------------------------------------------------------------
@@ -318,94 +418,99 @@ class Model:
         f = self.factors[order - 1]
         return np.where(c <= K, f[np.minimum(c, K)], c)
 
+    def small(self, order: int) -> int:
+        """Contexts up to this count never keep all their mass in n-grams of ``order``."""
+        return K if (self.factors[order - 1][1:] < np.arange(1, K + 1) - 1e-6).all() else 0
+
 
 class _Grams:
-    """A chunk's distinct bigrams and trigrams, and which token has which."""
+    """A chunk's distinct bigrams and trigrams, what it asks of them, and which token has which."""
 
     def __init__(self, chunk: Chunk, order: int):
-        self.chunk = chunk
         names = chunk.vocab[chunk.code]
         at = np.flatnonzero(chunk.place >= 1)
-        pair = joined(names[at - 1], names[at], 2)
-        self.two, first, back = np.unique(pair, return_index=True, return_inverse=True)
+        self.two, first, back = distinct(joined(names[at - 1], names[at], 2))
         self.two_at = np.full(len(names), -1, dtype=np.int64)  # of the bigram that ends with each token
         self.two_at[at] = back
-        self.two_times = np.bincount(back, weights=chunk.learns[at], minlength=len(self.two)).astype(np.uint32)
+        self.two_asks = chunk.asks(at, back, len(self.two))
         self.two_first, self.two_last = chunk.code[at[first] - 1], chunk.code[at[first]]
         if order < 3:
             return
         at = np.flatnonzero((chunk.place >= 2) & chunk.counts)
         before, last = self.two_at[at - 1], self.two_at[at]
-        self.three, first, back = np.unique(joined(self.two[before], self.two[last], 3), return_index=True, return_inverse=True)
+        self.three, first, back = distinct(joined(self.two[before], self.two[last], 3))
         self.three_at = np.full(len(names), -1, dtype=np.int64)
         self.three_at[at] = back
-        self.three_times = np.bincount(back, weights=chunk.learns[at], minlength=len(self.three)).astype(np.uint32)
+        self.three_asks = chunk.asks(at, back, len(self.three))
         self.three_ctx, self.three_suf = before[first], last[first]
 
-    def asked_two(self, alone: np.ndarray) -> np.ndarray:
-        """Of the bigrams, which other chunks may hold: both words occur elsewhere."""
-        return ~(alone[self.two_first] | alone[self.two_last])
-
-    def asked_three(self, alone: np.ndarray) -> np.ndarray:
-        return ~(alone[self.three_ctx] | alone[self.three_suf])
 
+class _Counts:
+    """Counts of a chunk's n-grams of one order, from the answers and from what needed none."""
 
-def _completed(asked: np.ndarray, times: np.ndarray, answer: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts, whether no other chunk has it, whether this chunk owns it) from the answers and what needed none."""
-    c, alone, owns = times.astype(np.int64), ~asked, times > 0
-    if answer is not None:
-        c[asked], alone[asked], owns[asked] = answer[0], answer[1] >= 2, answer[1] & 1 == 1
-    return c, alone, owns
+    def __init__(self, asked: np.ndarray, asks: np.ndarray, answer: list[np.ndarray] | None):
+        self.c, self.alone, self.owns, self.held = (asks >> np.uint64(1)).astype(np.int64), ~asked, asks > 1, asks % np.uint64(2) == 1
+        if answer is not None:
+            self.c[asked], flags = answer[0], answer[1]
+            self.alone[asked], self.owns[asked], self.held[asked] = flags & ALONE > 0, flags & OWN > 0, flags & HELD > 0
+
+    def contexts(self, small: int) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts that are weighed here, as no other chunk has them; and those that a bucket weighs.
+
+        In a text that the model learns every n-gram is there, so a context that no other text has needs no weight, only what
+        its masses are shares of: its count, if that is ``small``.
+        """
+        seen = self.c > 0
+        return seen & self.alone, seen & ~self.alone & (self.held | (self.c > small))
+
+    def weights(self, small: int, sums: tuple[np.ndarray, np.ndarray], answer: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(log a, what masses are shares of)"""
+        here, there = self.contexts(small)
+        loga, of = np.zeros(len(self.c)), np.maximum(self.c, 1)
+        loga[here], plus = weight(sums[0][here], sums[1][here], self.c[here])
+        of[here] += plus
+        if answer is not None:
+            loga[there] = answer[0]
+            of[there] += answer[1]
+        return loga, of
 
 
 class _Scored:
     """Probabilities of a chunk's distinct n-grams, as far as the answers go."""
 
-    def __init__(self, chunk: Chunk, answers: dict, model: Model, order: int):
-        self.chunk, self.model, self.g = chunk, model, _Grams(chunk, order)
-        self.c1, alone = answers[1][0].astype(np.int64), answers[1][1] >= 2
-        self.p1 = np.where(self.c1 > 0, model.mass(1, self.c1) * (model.share / max(model.n, 1)), model.unknown)
-        self.ask2 = self.g.asked_two(alone)
-        self.c2, self.alone2, self.owns2 = _completed(self.ask2, self.g.two_times, answers.get(2))
-        if order == 3:
-            self.ask3 = self.g.asked_three(self.alone2)
-            self.c3, _, self.owns3 = _completed(self.ask3, self.g.three_times, answers.get(3))
+    def __init__(self, chunk: Chunk, answers: dict, model: Model):
+        self.model, self.g = model, _Grams(chunk, 3)
+        g = self.g
+        self.one = _Counts(np.ones(len(chunk.vocab), dtype=bool), np.zeros(len(chunk.vocab), dtype=np.uint64), answers[1])
+        self.p1 = np.where(self.one.c > 0, model.mass(1, self.one.c) * (model.share / max(model.n, 1)), model.unknown)
+        self.two = _Counts(~(self.one.alone[g.two_first] | self.one.alone[g.two_last]), g.two_asks, answers.get(2))
+        self.ask3 = ~(self.two.alone[g.three_ctx] | self.two.alone[g.three_suf])
 
     def sums(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(mass, lower mass) by context of the n-grams that this chunk owns."""
         g = self.g
         if order == 2:
-            mine, ctx, lower, c, n = self.owns2, g.two_first, self.p1[g.two_last], self.c2, len(self.c1)
+            mine, ctx, lower, c, n = self.two.owns, g.two_first, self.p1[g.two_last], self.two.c, len(self.p1)
         else:
-            mine, ctx, lower, c, n = self.owns3, g.three_ctx, 10.0 ** self.log2[g.three_suf], self.c3, len(self.c2)
+            mine, ctx, lower, c, n = self.three.owns, g.three_ctx, 10.0 ** self.log2[g.three_suf], self.three.c, len(g.two)
         at = np.flatnonzero(mine)
         return np.bincount(ctx[at], weights=self.model.mass(order, c[at]), minlength=n), np.bincount(ctx[at], weights=lower[at], minlength=n)
 
-    def up_to_two(self, answer: list[np.ndarray] | None) -> None:
-        """log p(w | v) of the bigrams, from the weights of their first words."""
-        loga, of = np.zeros(len(self.c1)), np.ones(len(self.c1))
-        if answer is not None:
-            loga[self.c1 > 0], of[self.c1 > 0] = answer
-        ctx, seen = self.g.two_first, self.c2 > 0
-        self.log1 = np.log10(self.p1)
-        self.log2 = loga[ctx] + self.log1[self.g.two_last]
-        self.log2[seen] = np.log10(self.model.mass(2, self.c2[seen]) / of[ctx[seen]])
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """The bigrams that were seen as contexts, all of whose trigrams are here; and those whose weight comes from a bucket."""
-        return (self.c2 > 0) & self.alone2, (self.c2 > 0) & ~self.alone2
-
-    def up_to_three(self, answer: list[np.ndarray] | None) -> None:
-        here, there = self.contexts()
-        mass, lower = self.sums(3)
-        loga, of = np.zeros(len(self.c2)), np.ones(len(self.c2))
+    def up_to_two(self, answers: dict) -> None:
+        """Counts of trigrams, and log p(w | v) of the bigrams."""
+        g = self.g
+        self.three = _Counts(self.ask3, g.three_asks, answers.get(3))
+        loga, of = self.one.weights(self.model.small(2), self.sums(2), answers.get(11))
+        ctx, seen = g.two_first, self.two.c > 0
+        self.log2 = loga[ctx] + np.log10(self.p1)[g.two_last]
+        self.log2[seen] = np.log10(self.model.mass(2, self.two.c[seen]) / of[ctx[seen]])
+
+    def up_to_three(self, answers: dict) -> None:
         # A bigram that ends a document is no context: its weight, of no mass, is never used.
-        loga[here], of[here] = weight(mass[here], lower[here], self.c2[here].astype(np.float64))
-        if answer is not None:
-            loga[there], of[there] = answer
-        ctx, seen = self.g.three_ctx, self.c3 > 0
+        loga, of = self.two.weights(self.model.small(3), self.sums(3), answers.get(12))
+        ctx, seen = self.g.three_ctx, self.three.c > 0
         self.log3 = loga[ctx] + self.log2[self.g.three_suf]
-        self.log3[seen] = np.log10(self.model.mass(3, self.c3[seen]) / of[ctx[seen]])
+        self.log3[seen] = np.log10(self.model.mass(3, self.three.c[seen]) / of[ctx[seen]])
 
 
 def _log2_buckets(keys: int, keys_a_bucket: int) -> int:
@@ -419,10 +524,9 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
     """
     spark = docs.sparkSession
     with at_work(spark):
-        chunks = stored(_segments(docs, tokens, size), f"{base}/chunks", "zstd")
-        n_chunks = chunks.count()
-        sizes = chunks.select(F.octet_length("blob").alias("n")).agg(F.sum("n")).first()[0] or 0
-        log2 = _log2_buckets(sizes // 4, keys)
+        chunks = stored(_segments(docs, f"{base}/files", tokens, size), f"{base}/chunks")
+        n_chunks, most = chunks.agg(F.count(F.lit(1)), F.sum(F.col("tally")[0] + F.col("tally")[1])).first()
+        chunks, log2 = chunks.withColumn("tally", F.lit(None).cast("array<long>")), _log2_buckets(most or 0, keys)
         empty = [0] * (K + 4)
 
         def tallied(table: DataFrame, kind: int) -> list[int]:
@@ -433,59 +537,55 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
             return out
 
         def words(number: int, chunk: Chunk, _: dict) -> Iterator[pa.RecordBatch]:
-            times = np.bincount(chunk.code, weights=chunk.learns, minlength=len(chunk.vocab)).astype(np.uint32)
-            yield from _requests(1, number, log2, chunk.vocab, times)
-
-        one = _answers(_over_chunks([chunks], n_chunks, _BLOBS, words), f"{base}/counts-1", 1 << log2)
-        tallies = [tallied(one, 1), empty, empty]
+            yield from _requests(1, number, log2, chunk.vocab, chunk.asks(np.arange(len(chunk.code)), chunk.code, len(chunk.vocab)))
 
         def bigrams(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
-            g = _Grams(chunk, 2)
-            asked = g.asked_two(answers[1][1] >= 2)
-            yield from _requests(2, number, log2, g.two[asked], g.two_times[asked])
-            yield _row(0, -1, 2, None, _tally(g.two_times[~asked].astype(np.int64)))
+            g, alone = _Grams(chunk, 2), answers[1][1] & ALONE > 0
+            asked = ~(alone[g.two_first] | alone[g.two_last])
+            yield from _requests(2, number, log2, g.two[asked], g.two_asks[asked])
+            yield _row(0, -1 - number, 2, None, _tally((g.two_asks[~asked] >> np.uint64(1)).astype(np.int64)))
+
+        def exchange(tables: list[DataFrame], name: str, each) -> DataFrame:
+            return _exchanged(_over_chunks(tables, n_chunks, _BLOBS, each), f"{base}/{name}", 1 << log2, n_chunks)
 
-        two = _answers(_over_chunks([chunks, one], n_chunks, _BLOBS, bigrams), f"{base}/counts-2", 1 << log2)
-        tallies[1] = tallied(two, 2)
-        model2 = Model.of(tallies)
+        one = exchange([chunks], "counts-1", words)
+        two = exchange([chunks, one], "counts-2", bigrams)
+        tallies = [tallied(one, 1), tallied(two, 2), empty]
+        so_far = Model.of(tallies)
 
         def trigrams(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
-            s = _Scored(chunk, answers, model2, 2)
-            mass, lower = s.sums(2)
-            known = s.c1 > 0
-            yield from _requests(11, number, log2, chunk.vocab[known], s.c1[known], mass[known], lower[known])
-            g = _Grams(chunk, 3)
-            asked = g.asked_three(s.alone2)
-            yield from _requests(3, number, log2, g.three[asked], g.three_times[asked])
-            yield _row(0, -1, 3, None, _tally(g.three_times[~asked].astype(np.int64)))
-
-        three = _answers(_over_chunks([chunks, one, two], n_chunks, _BLOBS, trigrams), f"{base}/counts-3", 1 << log2)
+            s = _Scored(chunk, answers, so_far)
+            ask, (mass, lower) = s.one.contexts(so_far.small(2))[1], s.sums(2)
+            yield from _requests(11, number, log2, chunk.vocab[ask], s.one.c[ask], mass[ask], lower[ask])
+            yield from _requests(3, number, log2, s.g.three[s.ask3], s.g.three_asks[s.ask3])
+            yield _row(0, -1 - number, 3, None, _tally((s.g.three_asks[~s.ask3] >> np.uint64(1)).astype(np.int64)))
+
+        three = exchange([chunks, one, two], "counts-3", trigrams)
         tallies[2] = tallied(three, 3)
         model = Model.of(tallies)
 
         def contexts(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
-            s = _Scored(chunk, answers, model, 3)
-            s.up_to_two(answers.get(11))
-            mass, lower = s.sums(3)
-            ask = s.contexts()[1]
-            yield from _requests(12, number, log2, s.g.two[ask], s.c2[ask], mass[ask], lower[ask])
+            s = _Scored(chunk, answers, model)
+            s.up_to_two(answers)
+            ask, (mass, lower) = s.two.contexts(model.small(3))[1], s.sums(3)
+            yield from _requests(12, number, log2, s.g.two[ask], s.two.c[ask], mass[ask], lower[ask])
 
-        weights = _answers(_over_chunks([chunks, one, two, three], n_chunks, _BLOBS, contexts), f"{base}/weights-3", 1 << log2)
+        weights = exchange([chunks, one, two, three], "weights-3", contexts)
         whole = model.n + 0.5 * (model.v + 1)
 
         def scored(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
-            s = _Scored(chunk, answers, model, 3)
-            s.up_to_two(answers.get(11))
-            s.up_to_three(answers.get(12))
+            s = _Scored(chunk, answers, model)
+            s.up_to_two(answers)
+            s.up_to_three(answers)
             at = np.flatnonzero(chunk.counts)
             code, owner, three = chunk.code[at], chunk.owner[at], s.g.three_at[at]
             p = s.log2[s.g.two_at[at]]
             p[three >= 0] = s.log3[three[three >= 0]]
-            base_p = np.log10((s.c1 + 0.5) / whole)
+            base_p = np.log10((s.one.c + 0.5) / whole)
             n = len(chunk.size)
             sums = [np.bincount(owner, weights=w, minlength=n) for w in (base_p[code], p)]
-            tokens, known = np.bincount(owner, minlength=n), np.bincount(owner, weights=s.c1[code] > 0, minlength=n).astype(np.int64)
-            columns = [pa.array(chunk.row), pa.array(chunk.doc_id, mask=~chunk.named), *(pa.array(x) for x in (chunk.train, tokens, known, *sums))]
+            tokens, known = np.bincount(owner, minlength=n), np.bincount(owner, weights=s.one.c[code] > 0, minlength=n).astype(np.int64)
+            columns = [pa.array(chunk.row.astype(np.int64)), pa.array(chunk.doc_id.astype(np.int64), mask=~chunk.named), *(pa.array(x) for x in (chunk.train, tokens, known, *sums))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
         schema = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
@@ -493,7 +593,8 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
         # A text in several chunks has a part in each.
         sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("train").alias("train"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
         out = stored(sums.drop("row").withColumn("train_tokens", F.lit(model.n).cast("long")), f"{base}/scores")
-    dropped(spark, *(f"{base}/{t}" for t in ("chunks", "counts-1", "counts-2", "counts-3", "weights-3")))
+    tables = ("counts-1", "counts-2", "counts-3", "weights-3")
+    dropped(spark, f"{base}/files", f"{base}/chunks", *(f"{base}/{t}" for t in tables), *(f"{base}/{t}-files" for t in tables))
     return out, model
 
 

@@ -265,7 +265,7 @@ class BruteKatz:
 def katz_rows(extra=()):
     rng = random.Random(4)
     rows = [(i, " ".join(f"v{min(int(rng.paretovariate(1)), 30)}" for _ in range(rng.randrange(0, 40)))) for i in range(150)]
-    rows += [(900, None), (901, "zzz unseen V1"), (901, "zzz unseen V1"), (None, "v1 v2"), (902, "ab" * 2000 + " v1 " + "ba" * 2000)]
+    rows += [(900, None), (901, "zzz unseen V1"), (901, "zzz unseen V1"), (None, "v1 v2"), (-7, "v2 v3 v2"), (902, "ab" * 2000 + " v1 " + "ba" * 2000)]
     return rows + [(3000 + i, t) for i, t in enumerate(extra)]
 
 
