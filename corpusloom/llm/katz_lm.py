@@ -83,14 +83,29 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return pickle.dumps([_narrow(np.ascontiguousarray(a)) for a in arrays], protocol=5)
 
 
+def _listed(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of few distinct values: the values, and which one stands where."""
+    values, _, back = distinct(a)
+    return values, _narrow(back)
+
+
+def _names_packed(key: np.ndarray) -> np.ndarray:
+    """Sorted names, by their differences."""
+    return _planes(np.diff(key, prepend=np.uint64(0)))
+
+
+def _names(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(_values(planes, np.uint64), dtype=np.uint64)
+
+
 def _pack_keyed(key: np.ndarray, *arrays: np.ndarray) -> bytes:
-    """With sorted names first, as their differences."""
-    return pickle.dumps([_planes(np.diff(key, prepend=np.uint64(0))), *(_narrow(a) for a in arrays)], protocol=5)
+    """With sorted names first."""
+    return pickle.dumps([_names_packed(key), *(_narrow(a) for a in arrays)], protocol=5)
 
 
 def _unpack_keyed(blob: bytes) -> list[np.ndarray]:
     planes, *arrays = pickle.loads(blob)
-    return [np.cumsum(_values(planes, np.uint64), dtype=np.uint64), *arrays]
+    return [_names(planes), *arrays]
 
 
 def _row(bucket: int, chunk: int, kind: int, blob: bytes | None, tally: list[int] | None = None) -> pa.RecordBatch:
@@ -145,6 +160,17 @@ class Chunk:
     size: np.ndarray
     lead: np.ndarray
 
+    def packed(self) -> list[np.ndarray]:
+        """What the file holds: codes by falling frequency, whose high bytes are mostly 0."""
+        order = np.argsort(-np.bincount(self.code, minlength=len(self.vocab)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return [_names_packed(self.vocab), _planes(order.astype(np.int32)), _planes(rank[self.code]), self.row, self.doc_id, self.named, self.train, self.size, self.lead]
+
+    @classmethod
+    def of(cls, vocab: np.ndarray, order: np.ndarray, rank: np.ndarray, *rest: np.ndarray) -> Chunk:
+        return cls(_names(vocab), _values(order, np.int32)[_values(rank, np.int32)], *rest)
+
     def __post_init__(self) -> None:
         self.size = self.size.astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
@@ -178,7 +204,7 @@ def _segments(docs: DataFrame, out: str, tokens: int = TOKENS, size: int = SLICE
             lead, sizes = np.array([len(h[3]) for h in held]), np.array([len(h[3]) + len(h[4]) + h[5] for h in held])
             ids = np.array([h[1] or 0 for h in held], dtype=np.int64), np.array([h[1] is not None for h in held])
             columns = [np.array([h[i] for h in held]) for i in (0, 2)]
-            row = _row(0, part + made, 0, files.add(vocab, _planes(code.astype(np.int32)), columns[0], *ids, columns[1], sizes, lead), [len(code), len(vocab)])
+            row = _row(0, part + made, 0, files.add(*Chunk(vocab, code, columns[0], *ids, columns[1], sizes, lead).packed()), [len(code), len(vocab)])
             held, waiting, made = [], 0, made + 1
             return row
 
@@ -259,24 +285,27 @@ def weight(mass: np.ndarray, lower: np.ndarray, c: np.ndarray) -> tuple[np.ndarr
     return np.log10((1 - mass / (c + plus)) / np.maximum(1 - lower, 1e-300)), plus
 
 
-def _sums_packed(key: np.ndarray, c: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> bytes:
+def _sums_packed(key: np.ndarray, c: np.ndarray, needs: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> bytes:
     some = lower > 0
-    return _pack_keyed(key, c, np.packbits(some), mass[some], lower[some])
+    return _pack_keyed(key, c, np.packbits(needs), np.packbits(some), *_listed(mass[some]), *_listed(lower[some]))
 
 
 def _weighed(blobs: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, ...]], None]:
-    """Answers to (names of contexts, their counts, masses and lower masses of what a chunk owns): ``weight``."""
+    """Answers to (names of contexts, their counts, which ones need an answer, masses and lower masses of what a chunk owns): ``weight``."""
     sums = []
-    for _, c, some, *values in blobs:
+    for _, c, _, some, *values in blobs:
         at = np.flatnonzero(np.unpackbits(some, count=len(c)))
         both = np.zeros((2, len(c)))
-        both[:, at] = values
+        both[:, at] = values[0][values[1]], values[2][values[3]]
         sums.append(both)
     key, c, (mass, lower) = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]), np.concatenate(sums, axis=1)
     _, first, group = distinct(key)
     found = weight(np.bincount(group, weights=mass), np.bincount(group, weights=lower), c[first].astype(np.int64))
-    cuts = np.cumsum([len(b[0]) for b in blobs])[:-1]
-    return list(zip(*(np.split(x[group], cuts) for x in found), strict=True)), None
+    ends, out = np.cumsum([len(b[0]) for b in blobs]), []
+    for b, end in zip(blobs, ends, strict=True):
+        mine = group[end - len(b[0]) : end][np.unpackbits(b[2], count=len(b[0])) > 0]
+        out.append(tuple(x[mine] for x in found))
+    return out, None
 
 
 _REDUCERS = {1: _counted, 2: _counted, 3: _counted, 11: _weighed, 12: _weighed}
@@ -358,8 +387,7 @@ def _over_chunks(tables: list[DataFrame], chunks: int, schema: str, each) -> Dat
         number, found = None, {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            vocab, code, *rest = found.pop(0)
-            yield from each(number, Chunk(vocab, _values(code, np.int32), *rest), found)
+            yield from each(number, Chunk.of(*found.pop(0)), found)
 
         for batch in batches:
             for mine, kind, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -449,42 +477,51 @@ class _Counts:
     """Counts of a chunk's n-grams of one order, from the answers and from what needed none."""
 
     def __init__(self, asked: np.ndarray, asks: np.ndarray, answer: list[np.ndarray] | None):
-        self.c, self.alone, self.owns, self.held = (asks >> np.uint64(1)).astype(np.int64), ~asked, asks > 1, asks % np.uint64(2) == 1
+        self.mine = asks % np.uint64(2) == 1  # whether this chunk has a text with it that is not learned from
+        self.c, self.alone, self.owns, self.held = (asks >> np.uint64(1)).astype(np.int64), ~asked, asks > 1, self.mine.copy()
         if answer is not None:
             self.c[asked], flags = answer[0], answer[1]
             self.alone[asked], self.owns[asked], self.held[asked] = flags & ALONE > 0, flags & OWN > 0, flags & HELD > 0
 
-    def contexts(self, small: int) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts that are weighed here, as no other chunk has them; and those that a bucket weighs.
+    def contexts(self, small: int, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The contexts that are weighed here, as no other chunk has them; those that a bucket weighs; and whose weights are needed here.
 
         In a text that the model learns every n-gram is there, so a context that no other text has needs no weight, only what
-        its masses are shares of: its count, if that is ``small``.
+        its masses are shares of: its count, if that is ``small`` or if an n-gram with it is ``rare`` enough to be discounted.
         """
-        seen = self.c > 0
-        return seen & self.alone, seen & ~self.alone & (self.held | (self.c > small))
+        seen, large = self.c > 0, self.c > small
+        there = seen & ~self.alone & (self.held | large)
+        return seen & self.alone, there, there & (self.mine | (large & ~rare))
+
+    def asked(self, small: int, rare: np.ndarray, sums: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What the buckets are sent: names, counts, which need an answer, and the sums."""
+        _, there, needs = self.contexts(small, rare)
+        at = np.flatnonzero(there & (needs | (sums[1] > 0)))
+        return names[at], self.c[at], needs[at], sums[0][at], sums[1][at]
 
-    def weights(self, small: int, sums: tuple[np.ndarray, np.ndarray], answer: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    def weights(self, small: int, rare: np.ndarray, sums: tuple[np.ndarray, np.ndarray], answer: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         """(log a, what masses are shares of)"""
-        here, there = self.contexts(small)
+        here, _, needs = self.contexts(small, rare)
         loga, of = np.zeros(len(self.c)), np.maximum(self.c, 1)
         loga[here], plus = weight(sums[0][here], sums[1][here], self.c[here])
         of[here] += plus
         if answer is not None:
-            loga[there] = answer[0]
-            of[there] += answer[1]
+            loga[needs] = answer[0]
+            of[needs] += answer[1]
         return loga, of
 
 
 class _Scored:
     """Probabilities of a chunk's distinct n-grams, as far as the answers go."""
 
-    def __init__(self, chunk: Chunk, answers: dict, model: Model):
-        self.model, self.g = model, _Grams(chunk, 3)
-        g = self.g
-        self.one = _Counts(np.ones(len(chunk.vocab), dtype=bool), np.zeros(len(chunk.vocab), dtype=np.uint64), answers[1])
+    def __init__(self, chunk: Chunk, answers: dict, model: Model, order: int = 3):
+        self.model, self.chunk, self.g = model, chunk, _Grams(chunk, order)
+        g, n = self.g, len(chunk.vocab)
+        self.one = _Counts(np.ones(n, dtype=bool), chunk.asks(np.arange(len(chunk.code)), chunk.code, n), answers[1])
         self.p1 = np.where(self.one.c > 0, model.mass(1, self.one.c) * (model.share / max(model.n, 1)), model.unknown)
         self.two = _Counts(~(self.one.alone[g.two_first] | self.one.alone[g.two_last]), g.two_asks, answers.get(2))
-        self.ask3 = ~(self.two.alone[g.three_ctx] | self.two.alone[g.three_suf])
+        if order == 3:
+            self.ask3 = ~(self.two.alone[g.three_ctx] | self.two.alone[g.three_suf])
 
     def sums(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(mass, lower mass) by context of the n-grams that this chunk owns."""
@@ -496,18 +533,25 @@ class _Scored:
         at = np.flatnonzero(mine)
         return np.bincount(ctx[at], weights=self.model.mass(order, c[at]), minlength=n), np.bincount(ctx[at], weights=lower[at], minlength=n)
 
+    def rare(self, order: int) -> np.ndarray:
+        """Contexts with an n-gram in this chunk whose count is discounted."""
+        c, ctx, n = (self.two.c, self.g.two_first, len(self.p1)) if order == 2 else (self.three.c, self.g.three_ctx, len(self.g.two))
+        out = np.zeros(n, dtype=bool)
+        out[ctx[(c > 0) & (c <= self.model.small(order))]] = True
+        return out
+
     def up_to_two(self, answers: dict) -> None:
         """Counts of trigrams, and log p(w | v) of the bigrams."""
         g = self.g
         self.three = _Counts(self.ask3, g.three_asks, answers.get(3))
-        loga, of = self.one.weights(self.model.small(2), self.sums(2), answers.get(11))
+        loga, of = self.one.weights(self.model.small(2), self.rare(2), self.sums(2), answers.get(11))
         ctx, seen = g.two_first, self.two.c > 0
         self.log2 = loga[ctx] + np.log10(self.p1)[g.two_last]
         self.log2[seen] = np.log10(self.model.mass(2, self.two.c[seen]) / of[ctx[seen]])
 
     def up_to_three(self, answers: dict) -> None:
         # A bigram that ends a document is no context: its weight, of no mass, is never used.
-        loga, of = self.two.weights(self.model.small(3), self.sums(3), answers.get(12))
+        loga, of = self.two.weights(self.model.small(3), self.rare(3), self.sums(3), answers.get(12))
         ctx, seen = self.g.three_ctx, self.three.c > 0
         self.log3 = loga[ctx] + self.log2[self.g.three_suf]
         self.log3[seen] = np.log10(self.model.mass(3, self.three.c[seen]) / of[ctx[seen]])
@@ -527,7 +571,7 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
         chunks = stored(_segments(docs, f"{base}/files", tokens, size), f"{base}/chunks")
         n_chunks, most = chunks.agg(F.count(F.lit(1)), F.sum(F.col("tally")[0] + F.col("tally")[1])).first()
         chunks, log2 = chunks.withColumn("tally", F.lit(None).cast("array<long>")), _log2_buckets(most or 0, keys)
-        empty = [0] * (K + 4)
+        empty, names = [0] * (K + 4), []
 
         def tallied(table: DataFrame, kind: int) -> list[int]:
             rows = table.where(F.col("tally").isNotNull() & (F.col("kind") == kind)).select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
@@ -546,6 +590,7 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
             yield _row(0, -1 - number, 2, None, _tally((g.two_asks[~asked] >> np.uint64(1)).astype(np.int64)))
 
         def exchange(tables: list[DataFrame], name: str, each) -> DataFrame:
+            names.append(name)
             return _exchanged(_over_chunks(tables, n_chunks, _BLOBS, each), f"{base}/{name}", 1 << log2, n_chunks)
 
         one = exchange([chunks], "counts-1", words)
@@ -553,24 +598,26 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
         tallies = [tallied(one, 1), tallied(two, 2), empty]
         so_far = Model.of(tallies)
 
+        def words_as_contexts(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
+            s = _Scored(chunk, answers, so_far, 2)
+            yield from _requests(11, number, log2, *s.one.asked(so_far.small(2), s.rare(2), s.sums(2), chunk.vocab))
+
         def trigrams(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
             s = _Scored(chunk, answers, so_far)
-            ask, (mass, lower) = s.one.contexts(so_far.small(2))[1], s.sums(2)
-            yield from _requests(11, number, log2, chunk.vocab[ask], s.one.c[ask], mass[ask], lower[ask])
             yield from _requests(3, number, log2, s.g.three[s.ask3], s.g.three_asks[s.ask3])
             yield _row(0, -1 - number, 3, None, _tally((s.g.three_asks[~s.ask3] >> np.uint64(1)).astype(np.int64)))
 
         three = exchange([chunks, one, two], "counts-3", trigrams)
+        first = exchange([chunks, one, two], "weights-2", words_as_contexts)
         tallies[2] = tallied(three, 3)
         model = Model.of(tallies)
 
         def contexts(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
             s = _Scored(chunk, answers, model)
             s.up_to_two(answers)
-            ask, (mass, lower) = s.two.contexts(model.small(3))[1], s.sums(3)
-            yield from _requests(12, number, log2, s.g.two[ask], s.two.c[ask], mass[ask], lower[ask])
+            yield from _requests(12, number, log2, *s.two.asked(model.small(3), s.rare(3), s.sums(3), s.g.two))
 
-        weights = exchange([chunks, one, two, three], "weights-3", contexts)
+        second = exchange([chunks, one, two, three, first], "weights-3", contexts)
         whole = model.n + 0.5 * (model.v + 1)
 
         def scored(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
@@ -589,12 +636,11 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
         schema = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
-        parts = _over_chunks([chunks, one, two, three, weights], n_chunks, schema, scored)
+        parts = _over_chunks([chunks, one, two, three, first, second], n_chunks, schema, scored)
         # A text in several chunks has a part in each.
         sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("train").alias("train"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
         out = stored(sums.drop("row").withColumn("train_tokens", F.lit(model.n).cast("long")), f"{base}/scores")
-    tables = ("counts-1", "counts-2", "counts-3", "weights-3")
-    dropped(spark, f"{base}/files", f"{base}/chunks", *(f"{base}/{t}" for t in tables), *(f"{base}/{t}-files" for t in tables))
+    dropped(spark, f"{base}/files", f"{base}/chunks", *(f"{base}/{t}" for t in names), *(f"{base}/{t}-files" for t in names))
     return out, model
 
 
