@@ -148,7 +148,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 #: Words longer than this are hashed one at a time, by BLAKE2b.
 LONG = 64
-_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+#: The first n bytes of a little-endian word of 8.
+BYTES = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -169,7 +170,7 @@ def spread(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool =
         at, left = starts[which], size[which]
     first = len(which) == len(out)
     while len(which):
-        block = eight[at] & _KEEP[np.minimum(left, 8)]
+        block = eight[at] & BYTES[np.minimum(left, 8)]
         if first:
             out = mixed(out ^ block)
         else:

@@ -8,17 +8,19 @@ without the rest. A task writes under a name of its own and reports it in a row;
 manifest, makes a file part of the output. Whatever a lost or repeated task left behind is not in it. Only the files'
 id counts are summed over all parts to place each file in the corpus.
 
-The library encodes each distinct word of the stretches between ASCII white space once and keeps its ids (at most
-``WORDS`` words a task); the tokenizer's own pre-tokenizer cuts at white space and between letters and marks as well, so the ids are those of the
-whole text. ``whole_words=False`` encodes whole texts, for tokenizers that join words over white space.
+The library encodes each distinct word of the stretches between ASCII white space once and keeps its ids and its bytes (at most
+``WORDS`` words a task). A word is looked up by a 64-bit hash and its bytes are compared, so a text with a word whose hash
+is that of another one is encoded whole. This holds for tokenizers that lower-case and cut at white space and between letters and marks
+themselves, which ``cuts_words`` reads from the definition (``WORD_CUTS``); texts of any other tokenizer are encoded whole.
 
 Defined results: null and empty texts have no ids but the end id; rows that repeat a doc_id stand beside each other,
-in the order of their texts' hashes; a null doc_id comes first; metadata columns are named by the caller, other extra
-columns are ignored; an empty table gives no files and no rows.
+in the order of their texts' hashes; a null doc_id comes first; metadata columns are named by the caller and must not
+be named like the file's own, other extra columns are ignored; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BLANKS, HashTable, Words, as_bytes, chunks, documents, filesystem, shared_dir, small_batches, stored, tidy
+from corpusloom.llm.common import BLANKS, BYTES, HashTable, Words, as_bytes, chunks, distinct, documents, filesystem, shared_dir, small_batches, stored, tidy
 
 END_ID = 2
 #: Ids in a row group, or those of one document.
@@ -42,6 +44,26 @@ PAGE = 64 << 10
 WORDS = 1_000_000
 CHUNK = 1 << 20
 
+#: What a tokenizer's definition says if it lower-cases, drops white space, and never joins what stands on both sides of a cut.
+WORD_CUTS = {
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def cuts_words(definition: str) -> bool:
+    """Whether a tokenizer's ids of a text are those of its words, one after another."""
+    d = json.loads(definition)
+    cuts = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first = cuts[0]
+    return (
+        (d.get("normalizer") or {}).get("normalizers") == WORD_CUTS["normalizers"]
+        and first.get("type") == "Split" and first.get("pattern") == {"Regex": WORD_CUTS["split"]} and first.get("behavior") == "Removed" and first.get("invert") is True
+        and all(c.get("type") == "ByteLevel" and not c.get("use_regex") and not c.get("add_prefix_space") for c in cuts[1:])
+        and all(t["content"].startswith("<|") for t in d.get("added_tokens") or [])
+    )
+
+
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK = np.zeros(256, dtype=bool)
@@ -69,18 +91,19 @@ class _Pieces(Words):
 
 
 class WordEncoder:
-    """Ids of whole texts by way of their words' ids. A word is known by two hashes, 128 bits together."""
+    """Ids of whole texts by way of their words' ids; words are told apart by their bytes."""
 
-    def __init__(self, definition: str, end_id: int, most: int = WORDS, whole_words: bool = True):
+    def __init__(self, definition: str, end_id: int, most: int = WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.end_id, self.most, self.whole_words = Tokenizer.from_str(definition), end_id, most, whole_words
+        self.tokenizer, self.end_id, self.most, self.whole_words = Tokenizer.from_str(definition), end_id, most, cuts_words(definition)
         self._forget()
 
     def _forget(self) -> None:
         self.table = HashTable(max(8, self.most.bit_length() + 1))
         self.starts, self.lengths, self.flat, self.used = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0
+        self.raw, self.raw_at, self.raw_used = np.zeros(1 << 16, np.uint8), np.zeros(1025, np.int64), 0
 
     def _forget_half(self) -> None:
         """Keep the words that came first: frequent ones come early."""
@@ -90,6 +113,21 @@ class WordEncoder:
         self.table = HashTable(max(8, self.most.bit_length() + 1))
         self.table.add(old.key[kept], old.check[kept])
         self.used = int(self.starts[len(kept) - 1] + self.lengths[len(kept) - 1]) if len(kept) else 0
+        self.raw_used = int(self.raw_at[len(kept)])
+
+    def _other(self, words: Words, code: np.ndarray) -> np.ndarray:
+        """The words whose bytes are not those of the word that their hash found."""
+        size, at = words.ends - words.starts, self.raw_at[code]
+        differs = size != self.raw_at[code + 1] - at
+        mine = np.ndarray((len(words.buf) - 7,), dtype="<u8", buffer=words.buf, strides=(1,))
+        kept = np.ndarray((len(self.raw) - 7,), dtype="<u8", buffer=self.raw, strides=(1,))
+        which, a, b, left = np.arange(len(size)), words.starts, at, size
+        while len(which):
+            keep = BYTES[np.minimum(left, 8)]
+            differs[which[(mine[a] ^ kept[b]) & keep != 0]] = True
+            more = np.flatnonzero((left > 8) & ~differs[which])
+            which, a, b, left = which[more], a[more] + 8, b[more] + 8, left[more] - 8
+        return np.flatnonzero(differs)
 
     def _ids_of(self, words: list[bytes], run: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each word): words are encoded in runs; an id's offset tells its word."""
@@ -103,43 +141,53 @@ class WordEncoder:
             ids.append(np.array(found.ids, dtype=np.int32))
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def _learn(self, words: list[bytes], key: np.ndarray, check: np.ndarray) -> None:
+    def _learn(self, words: list[bytes], key: np.ndarray) -> None:
         for i in range(0, len(words), 8192):
             some = words[i : i + 8192]
             ids, lengths = self._ids_of(some)
             n, need = self.table.n, self.table.n + len(some)
+            sizes = np.fromiter(map(len, some), np.int64, len(some))
             while need > len(self.starts):
-                self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+                self.starts, self.lengths, self.raw_at = (np.concatenate((x, np.zeros(len(self.starts), dtype=x.dtype))) for x in (self.starts, self.lengths, self.raw_at))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            while self.raw_used + int(sizes.sum()) + 8 > len(self.raw):
+                self.raw = np.concatenate((self.raw, np.zeros_like(self.raw)))
             self.lengths[n:need] = lengths
             self.starts[n:need] = self.used + np.cumsum(lengths) - lengths
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            self.table.add(key[i : i + 8192], check[i : i + 8192])
+            self.raw_at[n + 1 : need + 1] = self.raw_used + np.cumsum(sizes)
+            self.raw[self.raw_used : self.raw_used + int(sizes.sum())] = np.frombuffer(b"".join(some), dtype=np.uint8)
+            self.raw_used += int(sizes.sum())
+            self.table.add(key[i : i + 8192], key[i : i + 8192])
+
+    def _whole(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text); the end id closes each text."""
         if not self.whole_words:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
+            found = self._whole(texts)
             lengths = np.fromiter((len(x) + 1 for x in found), np.int64, len(found))
             return np.fromiter(chain.from_iterable(chain(x, (self.end_id,)) for x in found), np.int32, int(lengths.sum())), lengths
         words = _Pieces(texts)
-        key, check = words.hashes(), words.hashes(second=True)
-        code = self.table.find(key, check)
+        key = words.hashes()
+        code = self.table.find(key, key)
         if (code < 0).any():
             for again in (False, True):
                 missing = np.flatnonzero(code < 0)
-                missing = missing[np.unique(key[missing], return_index=True)[1]]
+                missing = missing[distinct(key[missing])[1]]
                 if again or self.table.n + len(missing) <= self.most:
                     break
                 self._forget_half()
-                code = self.table.find(key, check)
+                code = self.table.find(key, key)
             if self.table.n + len(missing) > self.table.mask // 2:
                 self.table = _larger(self.table, self.table.n + len(missing))
             raw = words.buf.tobytes()
-            self._learn([raw[a:b] for a, b in zip(words.starts[missing].tolist(), words.ends[missing].tolist(), strict=True)], key[missing], check[missing])
-            code = self.table.find(key, check)
+            self._learn([raw[a:b] for a, b in zip(words.starts[missing].tolist(), words.ends[missing].tolist(), strict=True)], key[missing])
+            code = self.table.find(key, key)
+        other = self._other(words, code)
         n = np.diff(words.first)
         lengths = self.lengths[code].astype(np.int64)
         ends = np.cumsum(lengths)
@@ -148,6 +196,12 @@ class WordEncoder:
         sizes = np.diff(texts_ids) + 1
         out = np.full(int(sizes.sum()), self.end_id, dtype=np.int32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), sizes - 1)] = ids
+        if len(other):  # a hash that two words share: their texts are encoded whole
+            which = np.unique(np.searchsorted(words.first, other, side="right") - 1).tolist()
+            each = np.split(out, np.cumsum(sizes)[:-1])
+            for i, found in zip(which, self._whole([texts[i] for i in which]), strict=True):
+                each[i] = np.array([*found, self.end_id], dtype=np.int32)
+            return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
         return out, sizes
 
 
@@ -161,10 +215,14 @@ def _larger(table: HashTable, n: int) -> HashTable:
 
 
 def _schema(docs: DataFrame, meta: list[str]) -> pa.Schema:
-    return pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("offset", pa.int64()), *((m, pa.string()) for m in meta), ("tokens", pa.list_(pa.int32()))])
+    own = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("offset", pa.int64())]
+    clash = {"doc_id", "n_tokens", "offset", "tokens", "start", "ids_crc32"} & set(meta)
+    if clash:
+        raise ValueError(f"metadata columns named like the output's own: {sorted(clash)}")
+    return pa.schema([*own, *((m, pa.string()) for m in meta), ("tokens", pa.list_(pa.int32()))])
 
 
-def write_tokens(docs: DataFrame, out: str, definition: str, end_id: int = END_ID, meta: tuple[str, ...] = (), encoding: str = "dictionary", whole_words: bool = True, partitions: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, out: str, definition: str, end_id: int = END_ID, meta: tuple[str, ...] = (), encoding: str = "dictionary", partitions: int | None = None) -> DataFrame:
     """Write ``docs`` below ``out``; returns the manifest: part, path, rows, ids, groups, before (ids of the parts before)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -178,7 +236,7 @@ def write_tokens(docs: DataFrame, out: str, definition: str, end_id: int = END_I
         import pyarrow.parquet as pq
 
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(sent.value, end_id, WORDS, whole_words)
+        encoder = WordEncoder(sent.value, end_id)
         writer, groups, total, count, held, waiting = None, 0, 0, 0, [], 0
 
         def flush() -> None:

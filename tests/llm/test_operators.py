@@ -110,6 +110,29 @@ def tokenizer_text(tokenizer):
     return token_parquet.WordEncoder(token_parquet.definition_of(), 2, most=200), tokenizer
 
 
+def test_words_of_equal_hash_are_told_apart(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_parquet.Words, "hashes", lambda self, second=False: (self.ends - self.starts).astype(np.uint64) << np.uint64(60))
+    encoder = token_parquet.WordEncoder(token_parquet.definition_of(), 2)
+    texts = ["one two", "six two one", "", "abcdefghij abcdefghik", "abcdefghij", "a" * 100 + " " + "a" * 99 + "b"]
+    for _ in range(2):
+        ids, lengths = encoder.encode([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_encode_whole_texts(spark, corpus, tmp_path, name):
+    from tokenizers import Tokenizer
+
+    rows, df = corpus
+    definition = token_parquet.definition_of(name)
+    assert token_parquet.cuts_words(token_parquet.definition_of()) and not token_parquet.cuts_words(definition)
+    whole, text = Tokenizer.from_str(definition), {r[0]: r[1] for r in rows}
+    manifest = token_parquet.write_tokens(df, f"file://{tmp_path}/tokens", definition)
+    for r in token_parquet.digests(manifest).collect():
+        ids = [*whole.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_tokens_of_nothing(nothing):
     assert token_parquet.encoded(nothing).count() == 0
 
