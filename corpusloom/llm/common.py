@@ -212,6 +212,13 @@ class Words:
         return spread(self.buf, self.starts, self.ends, second)
 
 
+def word_counts(texts: list[bytes], size: int = CHUNK) -> np.ndarray:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; long ones are counted in slices."""
+    if all(len(t) <= size for t in texts):
+        return np.diff(Words(texts, lower=False).first)
+    return np.array([sum(len(Words([t[a:b]], lower=False).starts) for a, b in slices(t, size)) for t in texts], dtype=np.int64)
+
+
 def text_hash(word: bytes, lower: bool = True) -> int:
     """The hash that Words gives one word."""
     return int(Words([word], lower=lower).hashes()[0])

@@ -6,15 +6,17 @@ it can, and its siblings share the rest by weight, again and again. Only what no
 there - and since a node is never given more than its leaves hold, it has then already gone to the node's own siblings.
 A weight that is not given is the node's tokens to the power ``TEMPERATURE``. Budgets are whole tokens.
 
-A leaf of b tokens' budget and a tokens gives b // a whole epochs and a prefix of b % a tokens of one more, in the order
-of a hash of (seed, epoch, doc_id, text). The prefix needs no sort of the leaf: tokens are summed by 4096 ranges of the hash, ranges
-before the one where the budget ends are taken whole, and only that range's documents are put in order. Documents'
-texts are not shuffled but for those.
+Each epoch of a leaf is its documents in the order of ``place``, a hash of (seed, epoch, doc_id, text). A leaf of b tokens' budget and
+a tokens gives b // a whole epochs and a prefix of b % a tokens of one more. The prefix needs no sort of the leaf: tokens are summed by
+ranges of the hash, of about ``RANGE`` documents of the largest leaf, ranges before the one where the budget ends are taken whole,
+and only that range's documents are put in order. Texts are read once: their tokens and hashes are written beside the
+columns that are kept, and what follows reads these.
 
 Defined results: tokens are words `[^\x20\x09-\x0D]+`; null texts have none; null domains, languages and sources are
 leaves named ''; a leaf without tokens gives nothing; a document is in the prefix if the budget is not yet spent before it, and
 ``take_tokens`` is the part of it that the budget covers; repeated rows are taken one by one, ties of the hash in any order
-of equal rows; other columns pass through; an empty table or a budget of 0 gives no rows.
+of equal rows; other columns pass through, in ``mix`` without those named like a result; an empty table or a budget of 0 gives no rows;
+more than ``LEAVES`` leaves are an error, as a tree of that size is no metadata any more.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bounded_rows, clean_select, documents
+from corpusloom.llm.common import CHUNK, bounded_rows, clean_select, documents, shared_dir, stored, word_counts
+from corpusloom.llm.rowwise import with_computed
 
 LEAVES = 100_000
 MAX_EPOCHS = 4
 TEMPERATURE = 0.7
 SEED = 20_240_601
-RANGES = 4096
+#: Documents in a range of the hash, about.
+RANGE = 4096
 LEVELS = ("domain", "lang", "source")
 
 #: Production weights of the query; what is not listed goes by its tokens.
@@ -42,10 +46,18 @@ def domain_of(source: Column) -> Column:
     return F.when(source.isNull(), "").when(source == "src0", "crawl").otherwise("curated")
 
 
-def token_count(text: Column) -> Column:
-    """Words of a text; one more than its inner stretches of white space."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+def counted(docs: DataFrame, keep: list[str], path: str, domain=domain_of) -> DataFrame:
+    """row (the columns kept), domain, lang, source, tokens, mark (a hash of id and text): read once, written to ``path``."""
+    level = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*keep).alias("row"),
+        level(domain(F.col("source").cast("string"))).alias("domain"),
+        level(F.col("lang")).alias("lang"),
+        level(F.col("source")).alias("source"),
+        F.xxhash64("doc_id", "text").alias("mark"),
+        F.col("text").cast("string").alias("text"),
+    )
+    return stored(with_computed(rows, "tokens long", lambda texts, _: {"tokens": word_counts(texts)}, CHUNK).drop("text"), path)
 
 
 def _shared(budget: int, caps: list[int], weights: list[float]) -> list[int]:
@@ -91,36 +103,50 @@ def budgets(leaves: dict[tuple, int], budget: int, weights: dict[tuple, float],
     return down((), leaves, budget) if leaves else {}
 
 
-def mix(docs: DataFrame, budget: float, weights: dict[tuple, float], seed: int = SEED, max_epochs: int = MAX_EPOCHS, domain=domain_of, temperature: float = TEMPERATURE) -> DataFrame:
-    """``docs`` with leaf (its path), epoch, tokens, take_tokens: a row for each time a document is taken.
+def taken(docs: DataFrame, budget: float, weights: dict[tuple, float], seed: int = SEED, max_epochs: int = MAX_EPOCHS, domain=domain_of, temperature: float = TEMPERATURE, keep: list[str] | None = None, span: int = RANGE) -> DataFrame:
+    """row (a document's columns, or those to ``keep``), leaf (its path), epoch, place, tokens, take_tokens: a row for each time a document is taken.
 
     ``budget``: tokens, or if 1 or less a share of those there are.
     """
     spark = docs.sparkSession
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(domain(F.col("source").cast("string")), F.lit("")).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    row = row.withColumn("tokens", token_count(F.col("row.text").cast("string")))
-    sums = bounded_rows(row.groupBy(*LEVELS).agg(F.sum("tokens").alias("n")), LEAVES, "leaves of the tree")
+    rows = counted(docs, keep or docs.columns, f"{shared_dir(spark, 'mix')}/rows", domain)
+    sums = bounded_rows(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("docs")), LEAVES, "leaves of the tree")
     have = {(r["domain"], r["lang"], r["source"]): r["n"] for r in sums}
     whole = int(budget * sum(have.values())) if budget <= 1 else int(budget)
     plan = budgets(have, whole, weights, max_epochs, temperature)
     listed = [(*leaf, b // have[leaf], b % have[leaf]) for leaf, b in sorted(plan.items()) if have[leaf]]
     leaves = F.broadcast(spark.createDataFrame(listed, "domain string, lang string, source string, epochs long, part long"))
-    at = F.xxhash64(F.lit(seed), "epochs", F.col("row.doc_id"), F.col("row.text"))
-    rows = row.join(leaves, list(LEVELS)).withColumn("at", at).withColumn("span", F.shiftrightunsigned("at", 52).cast("int"))
+    bits = (max((r["docs"] for r in sums), default=0) // span).bit_length()
+    place = lambda epoch: F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, "mark"), 1)
+    rows = rows.join(leaves, list(LEVELS)).withColumn("at", place(F.col("epochs"))).withColumn("span", F.shiftright("at", 63 - bits) if bits else F.lit(0).cast("long"))
     by = Window.partitionBy(*LEVELS).orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
     spans = rows.groupBy(*LEVELS, "part", "span").agg(F.sum("tokens").alias("n")).withColumn("upto", F.sum("n").over(by))
     # The range of the hash in which the budget ends: the first whose running sum reaches it.
     cuts = spans.where("part > 0 AND upto >= part").groupBy(*LEVELS).agg(F.min("span").alias("cut"), F.min_by(F.col("upto") - F.col("n"), "span").alias("before"))
     rows = rows.join(F.broadcast(cuts), list(LEVELS), "left").withColumn("cut", F.coalesce("cut", F.lit(-1)))
     whole_ones = rows.where(F.col("span") != F.col("cut")).withColumn("last", F.when(F.col("span") < F.col("cut"), F.col("tokens")))
-    order = Window.partitionBy(*LEVELS).orderBy("at", F.col("row.doc_id")).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*LEVELS).orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, -1)
     ending = rows.where(F.col("span") == F.col("cut")).withColumn("spent", F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     ending = ending.withColumn("last", F.when(F.col("spent") < F.col("part"), F.least("tokens", F.col("part") - F.col("spent")))).drop("spent")
-    taken = whole_ones.unionByName(ending).withColumn("times", F.col("epochs") + F.col("last").isNotNull().cast("long")).where("times > 0")
-    taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    return taken.select("row.*", F.struct(*LEVELS).alias("leaf"), "epoch", "tokens", F.when(F.col("epoch") < F.col("epochs"), F.col("tokens")).otherwise(F.col("last")).alias("take_tokens"))
+    found = whole_ones.unionByName(ending).withColumn("times", F.col("epochs") + F.col("last").isNotNull().cast("long")).where("times > 0")
+    found = found.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    return found.select("row", F.struct(*LEVELS).alias("leaf"), "epoch", place(F.col("epoch")).alias("place"), "tokens", F.when(F.col("epoch") < F.col("epochs"), F.col("tokens")).otherwise(F.col("last")).alias("take_tokens"))
+
+
+ADDED = ("leaf", "epoch", "place", "tokens", "take_tokens")
+
+
+def mix(docs: DataFrame, budget: float, weights: dict[tuple, float], **options) -> DataFrame:
+    """``taken`` with the documents' columns beside the added ones."""
+    columns = [c for c in options.pop("keep", None) or docs.columns if c not in ADDED]
+    return taken(docs, budget, weights, keep=columns, **options).select("row.*", *ADDED)
+
+
+def mixed_documents(docs: DataFrame, budget: float, weights: dict[tuple, float], **options) -> DataFrame:
+    """The documents as often as the mix takes them, whole and with their own columns."""
+    return taken(docs, budget, weights, **options).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = clean_select(documents(spark, sf_dir), doc_id="long", text="string", lang="string", source="string")
-    return mix(docs, SHARE, WEIGHTS).select("doc_id", "leaf.domain", "lang", "source", "epoch", "tokens", "take_tokens")
+    return mix(docs, SHARE, WEIGHTS, keep=["doc_id", "lang", "source"]).select("doc_id", "leaf.domain", "lang", "source", "epoch", "place", "tokens", "take_tokens")
