@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each a function (spark, docs, sf_dir) on all that the one before kept.
 
 Every stage but the last returns the columns of ``documents`` and each one's decisions take effect: rejected documents go, one
-document of each group of near copies stays, contaminated documents go, and the mix repeats or drops whole
+document of each group of near copies stays, documents that hold a benchmark passage go, and the mix repeats or drops whole
 documents (never parts of one) until the sources have their weights; the last stage writes token ids and returns what the files hold.
 Nulls, ties, repeated rows and empty tables are handled as each operator's module says.
 """
@@ -29,13 +29,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: contaminated documents go."""
-    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Operator 7: documents that hold a passage of the benchmark go, however long they are."""
+    return decontaminate.remove_affected(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: as many tokens as there are, at the target weights."""
-    return source_mix.mix(docs, 1.0, source_mix.WEIGHTS, max_epochs=EPOCHS).select(*docs.columns)
+    return source_mix.mixed_documents(docs, 1.0, source_mix.WEIGHTS, max_epochs=EPOCHS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
