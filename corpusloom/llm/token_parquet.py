@@ -25,6 +25,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -51,6 +52,7 @@ WORD_CUTS = {
 }
 
 
+@lru_cache(maxsize=1)
 def cuts_words(definition: str) -> bool:
     """Whether a tokenizer's ids of a text are those of its words, one after another."""
     d = json.loads(definition)
@@ -90,14 +92,20 @@ class _Pieces(Words):
         self.first = np.searchsorted(self.starts, self.at)
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(definition: str):
+    """One for each Python worker: building it anew in every task leaves memory behind."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Tokenizer.from_str(definition)
+
+
 class WordEncoder:
     """Ids of whole texts by way of their words' ids; words are told apart by their bytes."""
 
     def __init__(self, definition: str, end_id: int, most: int = WORDS):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.end_id, self.most, self.whole_words = Tokenizer.from_str(definition), end_id, most, cuts_words(definition)
+        self.tokenizer, self.end_id, self.most, self.whole_words = _tokenizer(definition), end_id, most, cuts_words(definition)
         self._forget()
 
     def _forget(self) -> None:
