@@ -58,9 +58,9 @@ def embedded_texts(embed: Callable[[list[str]], list], texts: list[str], dim: in
                         got += _tried(embed, [t[:n]], pause)
                         break
                     except TooLong:
-                        if n <= LEAST:
+                        n = int(n * KEEP)
+                        if n < LEAST:
                             raise
-                        n = max(LEAST, int(n * KEEP))
                 sizes.append(n)
         if len(got) != len(part) or any(len(v) != dim for v in got):
             raise ValueError(f"{len(part)} texts gave {len(got)} vectors, or not of {dim} numbers")

@@ -48,6 +48,13 @@ def case_problems(cases: DataFrame) -> DataFrame:
     return twice.unionByName(blank).unionByName(empty)
 
 
+def section_texts(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """slug, section_index, page_first, page_last, text: a section's blocks (block_first to block_last) joined by one line feed."""
+    keys = ["slug", "section_index", "page_first", "page_last"]
+    parts = sections.select(*keys, "block_first", "block_last").join(blocks.select("slug", "ordinal", "text"), "slug").where("ordinal BETWEEN block_first AND block_last")
+    return parts.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("ordinal", "text")))["text"], "\n").alias("text"))
+
+
 def satisfiable(cases: DataFrame, sections: DataFrame, slugs: DataFrame) -> DataFrame:
     """id, phrase_sections, page_sections, both_sections, verdict: whether any section (slug, section_index, page_first, page_last, text) can meet a case."""
     known = cases.join(slugs.select(F.col("slug").alias("expected_slug"), F.lit(True).alias("known")), "expected_slug", "left")

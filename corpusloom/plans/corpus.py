@@ -64,20 +64,29 @@ def kb(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return built(documents(spark, sf_dir))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, ...], str] = {}
+
+
+def _version(spark: SparkSession, path: str) -> str:
+    """What a table's files are: other files, lengths or times are another version."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return "|".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one only where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share, as the session names it; a local master without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _STORED.setdefault((spark.sparkContext.applicationId, ""), "file://" + tempfile.mkdtemp(prefix="corpusloom-kb-"))
     return base.rstrip("/")
 
 
 def stored_kb(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """``kb``, written once an application and read from then on: searches and lookups work on tables, not on the texts."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """``kb``, written once for each version of the documents and read from then on: searches and lookups work on tables, not on the texts."""
+    key = (spark.sparkContext.applicationId, sf_dir, _version(spark, f"{sf_dir}/documents.parquet"))
     names = ("documents", "blocks", "sections", "chunks", "postings")
     if key not in _STORED:
         root = f"{scratch(spark)}/kb-{uuid.uuid4().hex}"

@@ -123,18 +123,14 @@ def answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("agg15_satisfiable", W + sql.SECTIONS + r""", c AS (SELECT item_id AS id, 'doc-' || (item_id * 30) AS slug, CASE item_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'zzzz' END AS phrase, CASE WHEN item_id % 2 = 0 THEN 1 END AS page FROM benchmark),
-st AS (SELECT s.slug, s.section_index, s.page_first, s.page_last, string_agg(b.text, chr(10) || chr(10) ORDER BY b.ordinal) AS text FROM sections s JOIN blocks b ON b.slug = s.slug AND b.ordinal BETWEEN s.block_first AND s.block_last GROUP BY ALL),
+st AS (SELECT s.slug, s.section_index, s.page_first, s.page_last, string_agg(b.text, chr(10) ORDER BY b.ordinal) AS text FROM sections s JOIN blocks b ON b.slug = s.slug AND b.ordinal BETWEEN s.block_first AND s.block_last GROUP BY ALL),
 j AS (SELECT c.*, d.slug IS NOT NULL AS known, coalesce(phrase IS NOT NULL AND contains(lower(st.text), phrase), false) AS a, coalesce(page BETWEEN page_first AND page_last, false) AS b FROM c LEFT JOIN docs d USING (slug) LEFT JOIN st USING (slug)),
 g AS (SELECT id, bool_or(known) AS known, max(phrase) AS phrase, max(page) AS page, count(*) FILTER (a) AS pa, count(*) FILTER (b) AS pb, count(*) FILTER (a AND b) AS pc FROM j GROUP BY id)
 SELECT id, pa AS phrase_sections, pb AS page_sections, pc AS both_sections, CASE WHEN NOT known THEN 'missing slug' WHEN phrase IS NOT NULL AND pa = 0 THEN 'missing phrase' WHEN page IS NOT NULL AND pb = 0 THEN 'missing page' WHEN phrase IS NOT NULL AND page IS NOT NULL AND pc = 0 THEN 'over-constrained' WHEN pa > 3 OR pb > 6 THEN 'weak' ELSE 'ok' END AS verdict FROM g""")
 def satisfiable(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
     cases = K.table(spark, sf_dir, "benchmark").select(i.alias("id"), F.concat(F.lit("doc-"), (i * 30).cast("string")).alias("expected_slug"), F.when(i % 3 == 0, "the").when(i % 3 == 1, "zzzz").alias("expected_phrase"), F.when(i % 2 == 0, 1).alias("expected_page"))
-    s = K.sections(spark, sf_dir).select("slug", "section_index", "page_first", "page_last", "block_first", "block_last")
-    parts = s.join(K.blocks(spark, sf_dir).select("slug", "ordinal", "text"), "slug").where("ordinal BETWEEN block_first AND block_last")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n\n")
-    texts = parts.groupBy("slug", "section_index", "page_first", "page_last").agg(text.alias("text"))
-    return E.satisfiable(cases, texts, K.documents(spark, sf_dir).select("slug"))
+    return E.satisfiable(cases, E.section_texts(K.sections(spark, sf_dir), K.blocks(spark, sf_dir)), K.documents(spark, sf_dir).select("slug"))
 
 
 @query("src12_case_problems", "SELECT item_id // 2 AS id, 'duplicate id' AS problem FROM benchmark GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT item_id // 2, 'no question' FROM benchmark WHERE item_id % 7 = 0 UNION ALL SELECT item_id // 2, 'nothing expected' FROM benchmark WHERE item_id % 5 = 0")

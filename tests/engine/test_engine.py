@@ -1,6 +1,7 @@
 """Operators of the engine against direct versions on small, made-up inputs."""
 
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import Row
@@ -349,3 +350,49 @@ def test_page_geometry(spark):
     assert [(r["kind"], r["text"]) for r in got] == [
         ("heading", "# Big heading"), ("paragraph", "First line of a paragraph that goes on here"), ("list", "- one\n- two"), ("table", "| c00 | c01 |\n| --- | --- |\n| c10 | c11 |\n| c20 | c21 |"),
     ]
+
+
+def _zip(parts):
+    import io
+    import zipfile
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return raw.getvalue()
+
+
+def test_slides_in_the_order_of_the_presentation(spark):
+    """Order, charts, SmartArt and notes by relationships; ODP the same way."""
+    ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" xmlns:dgm="http://schemas.openxmlformats.org/drawingml/2006/diagram"'
+    rels = lambda **t: "<Relationships>" + "".join(f'<Relationship Id="{k}" Target="{v}"/>' for k, v in t.items()) + "</Relationships>"
+    slide = lambda title, more="": f'<p:sld {ns}><p:sp><p:nvSpPr><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><a:p><a:r><a:t>{title}</a:t></a:r></a:p></p:sp>{more}</p:sld>'
+    point = lambda k, v: f'<c:pt idx="{k}"><c:v>{v}</c:v></c:pt>'
+    pptx = _zip({
+        "ppt/presentation.xml": f'<p:presentation {ns}><p:sldIdLst><p:sldId r:id="b"/><p:sldId r:id="a"/><p:sldId r:id="gone"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rels(a="slides/slide1.xml", b="slides/slide2.xml", gone="slides/slide9.xml"),
+        "ppt/slides/slide1.xml": slide("Second"),
+        "ppt/slides/slide2.xml": slide("First", '<c:chart r:id="c"/><dgm:relIds r:dm="d"/>'),
+        "ppt/slides/_rels/slide2.xml.rels": rels(c="../charts/chart1.xml", d="../diagrams/data1.xml", n="../notesSlides/notesSlide7.xml"),
+        "ppt/charts/chart1.xml": f"<c:chartSpace {ns}><c:ser><c:tx>{point(0, 'sales')}</c:tx><c:cat>{point(0, 'Q1')}{point(1, 'Q2')}</c:cat><c:val>{point(0, 3)}{point(1, 4)}</c:val></c:ser></c:chartSpace>",
+        "ppt/diagrams/data1.xml": f"<dgm:dataModel {ns}><dgm:pt><a:t>plan</a:t></dgm:pt><dgm:pt/><dgm:pt><a:t>do</a:t></dgm:pt></dgm:dataModel>",
+        "ppt/notesSlides/notesSlide7.xml": f"<p:notes {ns}><a:t>say this</a:t></p:notes>",
+    })
+    u = "urn:oasis:names:tc:opendocument:xmlns"
+    odp = _zip({"content.xml": f'<d xmlns:t="{u}:text:1.0" xmlns:b="{u}:table:1.0" xmlns:w="{u}:drawing:1.0" xmlns:s="{u}:presentation:1.0"><w:page><w:frame s:class="title"><t:p>Head</t:p></w:frame><w:frame><t:list><t:list-item><t:p>one</t:p><t:list><t:list-item><t:p>deep</t:p></t:list-item></t:list></t:list-item></t:list><b:table><b:table-row><b:table-cell><t:p>x</t:p></b:table-cell><b:table-cell><t:p>y</t:p></b:table-cell></b:table-row></b:table></w:frame></w:page></d>'})
+    files = spark.createDataFrame([("p", "pptx", bytearray(pptx)), ("o", "odp", bytearray(odp)), ("bad", "pptx", bytearray(b"no zip"))], "doc string, source_format string, content binary")
+    items = O.decoded(files)
+    assert [r["doc"] for r in items.where("error IS NOT NULL").collect()] == ["bad"]
+    got = defaultdict(list)
+    for r in O.item_blocks(items).orderBy("slug", "ordinal").collect():
+        got[r["slug"]].append((r["page"], r["kind"], r["text"]))
+    assert got["p"] == [(1, "heading", "## First"), (1, "table", "|  | sales |\n| --- | --- |\n| Q1 | 3 |\n| Q2 | 4 |"), (1, "list", "- plan\n- do"), (1, "paragraph", "Notes: say this"), (2, "heading", "## Second")]
+    assert got["o"] == [(1, "heading", "## Head"), (1, "list", "- one\n  - deep"), (1, "table", "| x | y |\n| --- | --- |")]
+
+
+def test_list_markers(spark):
+    """A marker, white space and something after it; letters, three digits and bare dashes are text."""
+    texts = ["- a", "– a", "— a", "‣ a", "· a", "* a", "12) a", "(3) a", "4. a", "a. b", "a) b", "123. a", "-", "--", "- ", "•a"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").where(F.col("text").rlike(G.LIST_LINE))
+    assert sorted(r["text"] for r in rows.collect()) == sorted(texts[:9])
