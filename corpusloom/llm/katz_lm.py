@@ -29,8 +29,6 @@ and base_score counts V = N = 0; rows that repeat a doc_id are scored one by one
 
 from __future__ import annotations
 
-import pickle
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,110 +38,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, as_bytes, at_work, clean_select, distinct, documents, dropped, filesystem, mixed, remainder, shared_dir, slices, stored, tidy
+from corpusloom.llm.common import Words, as_bytes, at_work, clean_select, distinct, documents, dropped, mixed, remainder, shared_dir, slices, stored, tidy
+from corpusloom.llm.exchange import ALONE, BLOBS, HELD, KEYS, OWN, Blobs, counted_by, exchanged, listed, log2_buckets, names_of, names_packed, over_chunks, pack_keyed, planes_of, requests, row_of, values_of
 
 #: Counts above this are not discounted.
 K = 5
 #: Tokens in a chunk, about; a text is read in slices of ``SLICE`` bytes.
 TOKENS = 1 << 20
 SLICE = 4 << 20
-#: Names in a bucket, about.
-KEYS = 4 << 20
 
 #: The end's hash: no word holds a line feed.
 END = np.uint64(0x1F83D9ABFB41BD6B)
 
-_BLOBS = "bucket int, chunk long, kind int, blob binary, tally array<long>"
-_FIELDS = ["bucket", "chunk", "kind", "blob", "tally"]
-
-
 def joined(first: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
     """The names of n-grams from those of their first and last n - 1 words."""
     return mixed(first * np.uint64(0xFF51AFD7ED558CCD) + last * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(order))
 
 
-def _narrow(a: np.ndarray) -> np.ndarray:
-    """Whole numbers in as few bytes as hold them all."""
-    if a.dtype.kind not in "iu" or a.min(initial=0) < 0:
-        return a
-    most = int(a.max(initial=0))
-    return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
-
-
-def _planes(a: np.ndarray) -> np.ndarray:
-    """The first bytes of all values, then the second ones, ...: what is alike compresses."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
-
-
-def _values(planes: np.ndarray, dtype) -> np.ndarray:
-    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    return pickle.dumps([_narrow(np.ascontiguousarray(a)) for a in arrays], protocol=5)
-
-
-def _listed(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of few distinct values: the values, and which one stands where."""
-    values, _, back = distinct(a)
-    return values, _narrow(back)
-
-
-def _names_packed(key: np.ndarray) -> np.ndarray:
-    """Sorted names, by their differences."""
-    return _planes(np.diff(key, prepend=np.uint64(0)))
-
-
-def _names(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(_values(planes, np.uint64), dtype=np.uint64)
-
-
-def _pack_keyed(key: np.ndarray, *arrays: np.ndarray) -> bytes:
-    """With sorted names first."""
-    return pickle.dumps([_names_packed(key), *(_narrow(a) for a in arrays)], protocol=5)
-
-
-def _unpack_keyed(blob: bytes) -> list[np.ndarray]:
-    planes, *arrays = pickle.loads(blob)
-    return [_names(planes), *arrays]
-
-
-def _row(bucket: int, chunk: int, kind: int, blob: bytes | None, tally: list[int] | None = None) -> pa.RecordBatch:
-    values = [pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary()), pa.array([tally], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(values, names=_FIELDS)
-
-
 # --- chunks ----------------------------------------------------------------------------------
-class _Blobs:
-    """Compressed blobs in a file of the task's own; where each stands counts only through the row that says so."""
-
-    def __init__(self, folder: str):
-        self.folder, self.sink = folder, None
-
-    def add(self, *arrays: np.ndarray) -> bytes:
-        if self.sink is None:
-            fs, path = filesystem(self.folder)
-            fs.create_dir(path)
-            self.name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-            self.sink = fs.open_output_stream(f"{path}/{self.name}")
-        whole = _pack(*arrays)
-        small = pa.compress(whole, codec="zstd", asbytes=True)
-        where = pickle.dumps((f"{self.folder}/{self.name}", self.sink.tell(), len(small), len(whole)))
-        self.sink.write(small)
-        return where
-
-    def close(self) -> None:
-        if self.sink is not None:
-            self.sink.close()
-
-
-def _read(where: bytes) -> list[np.ndarray]:
-    uri, begin, size, whole = pickle.loads(where)
-    fs, path = filesystem(uri)
-    with fs.open_input_file(path) as source:
-        return pickle.loads(pa.decompress(source.read_at(size, begin), whole, codec="zstd", asbytes=True))
-
-
 @dataclass
 class Chunk:
     """Tokens of runs of texts ("segments"), as codes into the sorted hashes of the chunk's distinct words.
@@ -165,11 +77,11 @@ class Chunk:
         order = np.argsort(-np.bincount(self.code, minlength=len(self.vocab)), kind="stable")
         rank = np.empty(len(order), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        return [_names_packed(self.vocab), _planes(order.astype(np.int32)), _planes(rank[self.code]), self.row, self.doc_id, self.named, self.train, self.size, self.lead]
+        return [names_packed(self.vocab), planes_of(order.astype(np.int32)), planes_of(rank[self.code]), self.row, self.doc_id, self.named, self.train, self.size, self.lead]
 
     @classmethod
     def of(cls, vocab: np.ndarray, order: np.ndarray, rank: np.ndarray, *rest: np.ndarray) -> Chunk:
-        return cls(_names(vocab), _values(order, np.int32)[_values(rank, np.int32)], *rest)
+        return cls(names_of(vocab), values_of(order, np.int32)[values_of(rank, np.int32)], *rest)
 
     def __post_init__(self) -> None:
         self.size = self.size.astype(np.int64)
@@ -191,7 +103,7 @@ def _segments(docs: DataFrame, out: str, tokens: int = TOKENS, size: int = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId() << 33, 0
-        files = _Blobs(out)
+        files = Blobs(out)
         held: list[tuple] = []  # (row, doc_id, train, lead tokens, word hashes, ends)
         waiting = 0
 
@@ -204,7 +116,7 @@ def _segments(docs: DataFrame, out: str, tokens: int = TOKENS, size: int = SLICE
             lead, sizes = np.array([len(h[3]) for h in held]), np.array([len(h[3]) + len(h[4]) + h[5] for h in held])
             ids = np.array([h[1] or 0 for h in held], dtype=np.int64), np.array([h[1] is not None for h in held])
             columns = [np.array([h[i] for h in held]) for i in (0, 2)]
-            row = _row(0, part + made, 0, files.add(*Chunk(vocab, code, columns[0], *ids, columns[1], sizes, lead).packed()), [len(code), len(vocab)])
+            row = row_of(0, part + made, 0, files.add(*Chunk(vocab, code, columns[0], *ids, columns[1], sizes, lead).packed()), [len(code), len(vocab)])
             held, waiting, made = [], 0, made + 1
             return row
 
@@ -240,7 +152,7 @@ def _segments(docs: DataFrame, out: str, tokens: int = TOKENS, size: int = SLICE
             yield flush()
         files.close()
 
-    return docs.select("doc_id", "train", "text").mapInArrow(tidy(run), _BLOBS)
+    return docs.select("doc_id", "train", "text").mapInArrow(tidy(run), BLOBS)
 
 
 # --- what the bucket tasks do ----------------------------------------------------------------
@@ -250,32 +162,6 @@ def _tally(c: np.ndarray) -> list[int]:
     return [*np.bincount(np.minimum(c, K + 2), minlength=K + 3)[: K + 2].tolist(), len(c), int(c.sum())]
 
 
-#: Of an n-gram: the first of the chunks that learn it gets OWN; ALONE where no other chunk has it; HELD where any document outside the training has it.
-OWN, ALONE, HELD = 1, 2, 4
-
-
-def _counted(blobs: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, ...]], list[int]]:
-    """Answers to (names, ``Chunk.asks``): the corpus's count and flags."""
-    key, asked = (np.concatenate(x) for x in zip(*blobs, strict=True))
-    order = np.argsort(key)
-    key, asked = key[order], asked[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    begins = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    total = np.add.reduceat((asked >> 1).astype(np.int64), begins)
-    of_all = ALONE * (np.diff(np.append(begins, len(key))) == 1) + HELD * np.bitwise_or.reduceat((asked & 1).astype(np.uint8), begins)
-    flags = of_all[group].astype(np.uint8)
-    learning = np.flatnonzero(asked > 1)
-    head = np.ones(len(learning), dtype=bool)
-    head[1:] = group[learning[1:]] != group[learning[:-1]]
-    flags[learning[head]] += OWN
-    count, flag = np.empty(len(key), dtype=np.int64), np.empty(len(key), dtype=np.uint8)
-    count[order], flag[order] = total[group], flags
-    cuts = np.cumsum([len(b[0]) for b in blobs])[:-1]
-    return list(zip(np.split(count, cuts), np.split(flag, cuts), strict=True)), _tally(total)
-
-
 def weight(mass: np.ndarray, lower: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log a, 1 or 0) of contexts that occur c times: masses are shares of c, or of c + 1 where the second is 1.
 
@@ -287,7 +173,7 @@ def weight(mass: np.ndarray, lower: np.ndarray, c: np.ndarray) -> tuple[np.ndarr
 
 def _sums_packed(key: np.ndarray, c: np.ndarray, needs: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> bytes:
     some = lower > 0
-    return _pack_keyed(key, c, np.packbits(needs), np.packbits(some), *_listed(mass[some]), *_listed(lower[some]))
+    return pack_keyed(key, c, np.packbits(needs), np.packbits(some), *listed(mass[some]), *listed(lower[some]))
 
 
 def _weighed(blobs: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, ...]], None]:
@@ -308,99 +194,7 @@ def _weighed(blobs: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, ...]
     return out, None
 
 
-_REDUCERS = {1: _counted, 2: _counted, 3: _counted, 11: _weighed, 12: _weighed}
-
-
-def _exchanged(requests: DataFrame, path: str, buckets: int, chunks: int) -> DataFrame:
-    """Requests (bucket, chunk, kind, names and values) merged by kind and bucket, and each chunk's answers written as one blob a kind.
-
-    Returns where those stand; rows of tallies (chunk below 0) pass through.
-    """
-
-    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, list[np.ndarray]]] = []
-        held_key = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            kind, bucket = held_key
-            answers, tally = _REDUCERS[kind]([b for _, b in held])
-            for (chunk, _), answer in zip(held, answers, strict=True):
-                yield _row(bucket, chunk, kind, _pack(*answer))
-            if tally:
-                yield _row(bucket, -1 - bucket, kind, None, tally)
-
-        for batch in batches:
-            for bucket, chunk, kind, blob, tally in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if blob is None:
-                    yield _row(bucket, chunk, kind, None, tally)
-                    continue
-                if held and held_key != (kind, bucket):
-                    yield from done()
-                    held = []
-                held_key = (kind, bucket)
-                held.append((chunk, _unpack_keyed(blob)))
-        if held:
-            yield from done()
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, held, held_key = _Blobs(f"{path}-files"), [], None
-        done = lambda: _row(0, *held_key, files.add(*(np.concatenate(x) for x in zip(*held, strict=True))))
-        for batch in batches:
-            for bucket, chunk, kind, blob, tally in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if blob is None:
-                    yield _row(bucket, chunk, kind, None, tally)
-                    continue
-                if held and held_key != (chunk, kind):
-                    yield done()
-                    held = []
-                held_key = (chunk, kind)
-                held.append(pickle.loads(blob))
-        if held:
-            yield done()
-        files.close()
-
-    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = requests.repartition(max(n, buckets), "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(tidy(reduced), _BLOBS)
-    rows = rows.repartition(max(n, chunks // 4), "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(tidy(gathered), _BLOBS)
-    return stored(rows, path)
-
-
-def _requests(kind: int, chunk: int, log2_buckets: int, key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket that sorted names fall in."""
-    if not len(key):
-        return
-    bucket = (key >> np.uint64(64 - log2_buckets)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange((1 << log2_buckets) + 1))
-    pack = _sums_packed if kind > 10 else _pack_keyed
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        at = slice(cuts[b], cuts[b + 1])
-        yield _row(b, chunk, kind, pack(key[at], *(v[at] for v in values)))
-
-
-def _over_chunks(tables: list[DataFrame], chunks: int, schema: str, each) -> DataFrame:
-    """``each(chunk number, Chunk, answers by kind)`` of every chunk; ``tables`` say where it and its answers stand."""
-    rows = tables[0]
-    for t in tables[1:]:
-        rows = rows.unionByName(t.where("chunk >= 0"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, found = None, {}
-
-        def done() -> Iterator[pa.RecordBatch]:
-            yield from each(number, Chunk.of(*found.pop(0)), found)
-
-        for batch in batches:
-            for mine, kind, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if mine != number:
-                    if found:
-                        yield from done()
-                    number, found = mine, {}
-                found[kind] = _read(blob)
-        if found:
-            yield from done()
-
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks // 4)
-    return rows.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tidy(run), schema)
+_REDUCERS = {1: counted_by(_tally), 2: counted_by(_tally), 3: counted_by(_tally), 11: _weighed, 12: _weighed}
 
 
 # --- counts and weights ----------------------------------------------------------------------
@@ -557,8 +351,8 @@ class _Scored:
         self.log3[seen] = np.log10(self.model.mass(3, self.three.c[seen]) / of[ctx[seen]])
 
 
-def _log2_buckets(keys: int, keys_a_bucket: int) -> int:
-    return max(3, (max(keys, 1) // keys_a_bucket).bit_length())
+def whole_chunk(each):
+    return lambda number, held, answers: each(number, Chunk.of(*held), answers)
 
 
 def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, size: int = SLICE) -> tuple[DataFrame, Model]:
@@ -570,7 +364,7 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
     with at_work(spark):
         chunks = stored(_segments(docs, f"{base}/files", tokens, size), f"{base}/chunks")
         n_chunks, most = chunks.agg(F.count(F.lit(1)), F.sum(F.col("tally")[0] + F.col("tally")[1])).first()
-        chunks, log2 = chunks.withColumn("tally", F.lit(None).cast("array<long>")), _log2_buckets(most or 0, keys)
+        chunks, log2 = chunks.withColumn("tally", F.lit(None).cast("array<long>")), log2_buckets(most or 0, keys)
         empty, names = [0] * (K + 4), []
 
         def tallied(table: DataFrame, kind: int) -> list[int]:
@@ -581,17 +375,17 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
             return out
 
         def words(number: int, chunk: Chunk, _: dict) -> Iterator[pa.RecordBatch]:
-            yield from _requests(1, number, log2, chunk.vocab, chunk.asks(np.arange(len(chunk.code)), chunk.code, len(chunk.vocab)))
+            yield from requests(1, number, log2, chunk.vocab, chunk.asks(np.arange(len(chunk.code)), chunk.code, len(chunk.vocab)))
 
         def bigrams(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
             g, alone = _Grams(chunk, 2), answers[1][1] & ALONE > 0
             asked = ~(alone[g.two_first] | alone[g.two_last])
-            yield from _requests(2, number, log2, g.two[asked], g.two_asks[asked])
-            yield _row(0, -1 - number, 2, None, _tally((g.two_asks[~asked] >> np.uint64(1)).astype(np.int64)))
+            yield from requests(2, number, log2, g.two[asked], g.two_asks[asked])
+            yield row_of(0, -1 - number, 2, None, _tally((g.two_asks[~asked] >> np.uint64(1)).astype(np.int64)))
 
         def exchange(tables: list[DataFrame], name: str, each) -> DataFrame:
             names.append(name)
-            return _exchanged(_over_chunks(tables, n_chunks, _BLOBS, each), f"{base}/{name}", 1 << log2, n_chunks)
+            return exchanged(over_chunks(tables, n_chunks, BLOBS, whole_chunk(each)), f"{base}/{name}", 1 << log2, n_chunks, _REDUCERS)
 
         one = exchange([chunks], "counts-1", words)
         two = exchange([chunks, one], "counts-2", bigrams)
@@ -600,12 +394,12 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
 
         def words_as_contexts(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
             s = _Scored(chunk, answers, so_far, 2)
-            yield from _requests(11, number, log2, *s.one.asked(so_far.small(2), s.rare(2), s.sums(2), chunk.vocab))
+            yield from requests(11, number, log2, *s.one.asked(so_far.small(2), s.rare(2), s.sums(2), chunk.vocab), packed=_sums_packed)
 
         def trigrams(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
             s = _Scored(chunk, answers, so_far)
-            yield from _requests(3, number, log2, s.g.three[s.ask3], s.g.three_asks[s.ask3])
-            yield _row(0, -1 - number, 3, None, _tally((s.g.three_asks[~s.ask3] >> np.uint64(1)).astype(np.int64)))
+            yield from requests(3, number, log2, s.g.three[s.ask3], s.g.three_asks[s.ask3])
+            yield row_of(0, -1 - number, 3, None, _tally((s.g.three_asks[~s.ask3] >> np.uint64(1)).astype(np.int64)))
 
         three = exchange([chunks, one, two], "counts-3", trigrams)
         first = exchange([chunks, one, two], "weights-2", words_as_contexts)
@@ -615,7 +409,7 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
         def contexts(number: int, chunk: Chunk, answers: dict) -> Iterator[pa.RecordBatch]:
             s = _Scored(chunk, answers, model)
             s.up_to_two(answers)
-            yield from _requests(12, number, log2, *s.two.asked(model.small(3), s.rare(3), s.sums(3), s.g.two))
+            yield from requests(12, number, log2, *s.two.asked(model.small(3), s.rare(3), s.sums(3), s.g.two), packed=_sums_packed)
 
         second = exchange([chunks, one, two, three, first], "weights-3", contexts)
         whole = model.n + 0.5 * (model.v + 1)
@@ -636,7 +430,7 @@ def score(docs: DataFrame, base: str, tokens: int = TOKENS, keys: int = KEYS, si
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
         schema = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
-        parts = _over_chunks([chunks, one, two, three, first, second], n_chunks, schema, scored)
+        parts = over_chunks([chunks, one, two, three, first, second], n_chunks, schema, whole_chunk(scored))
         # A text in several chunks has a part in each.
         sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("train").alias("train"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
         out = stored(sums.drop("row").withColumn("train_tokens", F.lit(model.n).cast("long")), f"{base}/scores")
