@@ -53,6 +53,14 @@ def listed(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, narrow(back)
 
 
+def ranked(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes by falling frequency, whose high bytes are mostly 0; the code of each rank)"""
+    order = np.argsort(-np.bincount(code, minlength=n), kind="stable").astype(np.int32)
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    return rank[code], order
+
+
 def names_packed(key: np.ndarray) -> np.ndarray:
     """Sorted names, by their differences."""
     return planes_of(np.diff(key, prepend=np.uint64(0)))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Words, as_bytes, at_work, clean_select, distinct, documents, dropped, mixed, remainder, shared_dir, slices, stored, tidy
-from corpusloom.llm.exchange import ALONE, BLOBS, HELD, KEYS, OWN, Blobs, counted_by, exchanged, listed, log2_buckets, names_of, names_packed, over_chunks, pack_keyed, planes_of, requests, row_of, values_of
+from corpusloom.llm.exchange import ALONE, BLOBS, HELD, KEYS, OWN, Blobs, counted_by, exchanged, listed, log2_buckets, names_of, names_packed, over_chunks, pack_keyed, planes_of, ranked, requests, row_of, values_of
 
 #: Counts above this are not discounted.
 K = 5
@@ -73,11 +73,9 @@ class Chunk:
     lead: np.ndarray
 
     def packed(self) -> list[np.ndarray]:
-        """What the file holds: codes by falling frequency, whose high bytes are mostly 0."""
-        order = np.argsort(-np.bincount(self.code, minlength=len(self.vocab)), kind="stable")
-        rank = np.empty(len(order), dtype=np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        return [names_packed(self.vocab), planes_of(order.astype(np.int32)), planes_of(rank[self.code]), self.row, self.doc_id, self.named, self.train, self.size, self.lead]
+        """What the file holds."""
+        rank, order = ranked(self.code, len(self.vocab))
+        return [names_packed(self.vocab), planes_of(order), planes_of(rank), self.row, self.doc_id, self.named, self.train, self.size, self.lead]
 
     @classmethod
     def of(cls, vocab: np.ndarray, order: np.ndarray, rank: np.ndarray, *rest: np.ndarray) -> Chunk:

@@ -229,10 +229,11 @@ def brute_links(rows):
     return sorted((r[0], len(sets[i]), least[root[i]], links[i]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [ngram_jaccard.BLOCK, 300])
-def test_jaccard_links(corpus, block):
+@pytest.mark.parametrize("block, size, keys", [(ngram_jaccard.BLOCK, ngram_jaccard.CHUNK, ngram_jaccard.KEYS), (300, 2000, 400)])
+def test_jaccard_links(corpus, block, size, keys):
+    """In one chunk, bucket and block, and in many."""
     rows, df = corpus
-    got = ngram_jaccard.link(df, block=block)
+    got = ngram_jaccard.link(df, block=block, size=size, keys=keys)
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "n_links").collect())) == brute_links(rows)
 
 
@@ -247,6 +248,32 @@ def test_jaccard_on_a_chain_and_shared_passages(spark):
     assert sorted(map(tuple, got.collect())) == brute_links(rows)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), max_size=12), min_size=1, max_size=40), st.integers(1, 5), st.sampled_from([None, 3]), st.sampled_from([1, 2, 16]))
+def test_blocked_products(sets, strip, split, few):
+    """Links and reach of a block, or across two, as by comparing every pair; columns of few rows and of many."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ngram_jaccard, "STRIP", strip)
+        m.setattr(ngram_jaccard, "TILE", 7)
+        m.setattr(ngram_jaccard, "FEW", few)
+        split = min(split, len(sets)) if split else None
+        weights = np.arange(1, len(sets) + 1).astype(float)
+        sizes = np.array([len(x) for x in sets])
+        links, parent = ngram_jaccard.linked_rows(sizes, sizes, np.array([h for x in sets for h in sorted(x)], dtype=np.uint64), split, weights)
+    want, root = np.zeros(len(sets)), list(range(len(sets)))
+    for j in range(len(sets)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]) and (split is None or i < split <= j):
+                want[i] += weights[j]
+                want[j] += weights[i]
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    some = sizes > 0
+    assert links[some].tolist() == want[some].tolist()
+    assert [parent[i] == parent[j] for i in np.flatnonzero(some) for j in np.flatnonzero(some)] == [root[i] == root[j] for i in np.flatnonzero(some) for j in np.flatnonzero(some)]
+
+
 def test_jaccard_keeps_one_of_each(spark, corpus, nothing):
     rows, df = corpus
     kept = sorted(r["doc_id"] for r in ngram_jaccard.first_of_each(df).select("doc_id").collect())
