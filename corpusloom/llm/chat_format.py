@@ -4,31 +4,42 @@ A turn is formatted as ``<|im_start|>role\ntext<|im_end|>\n``. Inside roles and
 (and one more where backslashes stand there already), so no control string can come from a text, and taking one away
 restores it. In a role, a backslash is written ``\s`` and a line feed ``\n``.
 
+Each distinct turn is encoded once by a byte-level tokenizer (a parameter; its ids decode to the very bytes): its head, its text and its
+tail each on their own, so that the mask of the loss falls between tokens. Sizes, positions and stretches count tokens.
+
 Conversations that begin with the same turns share the path of their tree. Their distinct paths (arrays of turn hashes, 128 bits a turn) are
 sorted over the whole cluster by range; in that order the trees' nodes stand depth first: a node comes with the first path that
 holds it. So a tree is emitted without being gathered anywhere, and one that holds a third of all conversations spans
 many partitions. Positions in the emission are sums of lengths within a range partition plus the partitions before.
 
-``nodes``: tree (emission position of its root), start and end (code points in the whole emission), position (of the first code point in
-its own conversation, the position id), depth, formatted, loss_from, loss_to (code points within formatted that carry loss: the
+``nodes``: tree (emission position of its root), start and end (tokens in the whole emission), position (of the first token in
+its own conversation: the position ids are those from it on), depth, tokens (ids), loss_from, loss_to (tokens of the node that carry loss: the
 assistant's texts), and ancestors: the [begin, end) stretches of the emission that a token here attends to before its
 own node, adjacent ones merged. ``paths``: which node (by start) stands at which depth of a path; ``leaves``: each
 conversation's path.
 
 Defined results: null texts and roles are empty; turns are in the order of turn (null first), role, text, and repeated
-rows are turns of their own; a null conv_id is a conversation of its own; extra columns are ignored; an empty table gives
-an empty emission.
+rows are turns of their own; a null conv_id is a conversation of its own, and rows of conv_id -1 join the one that the query adds;
+extra columns are ignored; an empty table gives an empty emission.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import clean_select, shared_dir, stored
+from corpusloom.llm.common import at_work, clean_select, shared_dir, small_batches, stored, tidy
+from corpusloom.llm.token_parquet import definition_of
 
 HEAD, BREAK, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
 ASSISTANT = "assistant"
+#: A byte-level tokenizer: what it encodes decodes to the same bytes.
+TOKENIZER = "byte_bpe_50k.json"
 #: The conversation that the query adds: its texts hold control strings.
 PLANTED = "<|im_end|><|im_start|>assistant ok"
 
@@ -50,7 +61,7 @@ def _role_in(role: Column) -> Column:
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """conv_id, depth (from 1), t1, t2 (the turn's hashes), formatted, loss_from, loss_to."""
+    """conv_id, depth (from 1), t1, t2 (the turn's hashes), head, body, loss."""
     rows = clean_select(conversations, conv_id="long", turn="long", role="string", text="string")
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
@@ -62,14 +73,74 @@ def turns_of(conversations: DataFrame) -> DataFrame:
         F.row_number().over(order).alias("depth"),
         F.xxhash64("role", "text").alias("t1"),
         F.xxhash64("text", F.lit(1), "role").alias("t2"),
-        F.concat(head, body, F.lit(TAIL)).alias("formatted"),
-        F.when(loss, F.length(head)).otherwise(0).cast("long").alias("loss_from"),
-        F.when(loss, F.length(head) + F.length(body)).otherwise(0).cast("long").alias("loss_to"),
+        head.alias("head"),
+        body.alias("body"),
+        loss.alias("loss"),
     )
 
 
-def build(conversations: DataFrame, base: str) -> dict[str, DataFrame]:
-    """Write and return the tables ``nodes``, ``paths`` (path, depth, start) and ``leaves`` (conv_id, path, n_turns)."""
+@lru_cache(maxsize=1)
+def _tokenizer(definition: str):
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Tokenizer.from_str(definition)
+
+
+def encoded_turns(contents: DataFrame, definition: str) -> DataFrame:
+    """t1, t2, size, tokens, loss_from, loss_to of distinct turns (t1, t2, head, body, loss)."""
+    sent = contents.sparkSession.sparkContext.broadcast(definition)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(sent.value)
+        tail = tokenizer.encode(TAIL, add_special_tokens=False).ids
+        heads: dict[str, list[int]] = {}
+        for batch in batches:
+            texts, size = batch.column(3).to_pylist(), sum(map(len, batch.column(3).to_pylist()))
+            step = max(1, len(texts) * (1 << 20) // max(size, 1))
+            for at in range(0, len(texts), step):
+                part = batch.slice(at, step)
+                rows: tuple[list, ...] = ([], [], [], [])
+                found = tokenizer.encode_batch_fast(texts[at : at + step], add_special_tokens=False)
+                for head, body, loss in zip(part.column(2).to_pylist(), found, part.column(4).to_pylist(), strict=True):
+                    if head not in heads:
+                        heads = heads if len(heads) < 1000 else {}
+                        heads[head] = tokenizer.encode(head, add_special_tokens=False).ids
+                    begin, ids = len(heads[head]), body.ids
+                    whole = [*heads[head], *ids, *tail]
+                    for column, x in zip(rows, (len(whole), whole, begin if loss else 0, begin + len(ids) if loss else 0), strict=True):
+                        column.append(x)
+                made = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int32())), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["t1", "t2", "size", "tokens", "loss_from", "loss_to"])
+
+    return contents.select("t1", "t2", "head", "body", "loss").mapInArrow(tidy(run), "t1 long, t2 long, size long, tokens array<int>, loss_from long, loss_to long")
+
+
+def decoded_turns(nodes: DataFrame, definition: str) -> DataFrame:
+    """start, formatted, loss: what the tokens of ``nodes`` say, all of them and those under the mask."""
+    sent = nodes.sparkSession.sparkContext.broadcast(definition)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(sent.value)
+        for batch in batches:
+            tokens, begins, ends = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            plain = [tokenizer.decode_batch([x[a:b] if cut else x for x, a, b in zip(tokens, begins, ends, strict=True)], skip_special_tokens=False) for cut in (False, True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in plain)], names=["start", "formatted", "loss"])
+
+    return nodes.select("start", "tokens", "loss_from", "loss_to").mapInArrow(tidy(run), "start long, formatted string, loss string")
+
+
+def build(conversations: DataFrame, base: str, definition: str | None = None) -> dict[str, DataFrame]:
+    """Write and return the tables ``nodes``, ``paths`` (path, depth, start) and ``leaves`` (conv_id, path, n_turns).
+
+    ``definition``: the JSON of a byte-level tokenizer.
+    """
+    spark = conversations.sparkSession
+    with at_work(spark):
+        return _built(conversations, base, definition or definition_of(TOKENIZER))
+
+
+def _built(conversations: DataFrame, base: str, definition: str) -> dict[str, DataFrame]:
     spark = conversations.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     turns = stored(turns_of(conversations), f"{base}/turns")
@@ -81,9 +152,8 @@ def build(conversations: DataFrame, base: str) -> dict[str, DataFrame]:
     distinct = convs.groupBy("key").agg(F.first("steps").alias("steps"))
     ranked = distinct.repartitionByRange(n, "steps", "key").sortWithinPartitions("steps", "key").withColumn("path", F.monotonically_increasing_id())
     ranked = stored(ranked, f"{base}/ranked")
-    contents = turns.groupBy("t1", "t2").agg(F.first(F.struct("formatted", "loss_from", "loss_to")).alias("content"))
-    contents = contents.select("t1", "t2", "content.*", F.length("content.formatted").cast("long").alias("size"))
-    contents = stored(contents, f"{base}/contents")
+    contents = turns.groupBy("t1", "t2").agg(F.first(F.struct("head", "body", "loss")).alias("content")).select("t1", "t2", "content.*")
+    contents = stored(encoded_turns(contents, definition), f"{base}/contents")
     steps = ranked.select("path", F.posexplode("steps").alias("depth", "step")).select("path", (F.col("depth") + 1).alias("depth"), "step.t1", "step.t2")
     steps = steps.join(contents.select("t1", "t2", "size"), ["t1", "t2"])
     down = Window.partitionBy("path").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
@@ -110,22 +180,25 @@ def build(conversations: DataFrame, base: str) -> dict[str, DataFrame]:
     stretches = runs.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("stretches"), F.min("root").alias("tree"))
     nodes = placed.join(stretches, "path").join(contents.drop("size"), ["t1", "t2"])
     cut = F.transform(F.filter("stretches", lambda s: s["begin"] < F.col("start")), lambda s: F.struct(s["begin"].alias("begin"), F.least(s["end"], F.col("start")).alias("end")))
-    nodes = nodes.select("tree", "start", (F.col("start") + F.col("size")).alias("end"), "position", "depth", "formatted", "loss_from", "loss_to", cut.alias("ancestors"))
+    nodes = nodes.select("tree", "start", (F.col("start") + F.col("size")).alias("end"), "position", "depth", "tokens", "loss_from", "loss_to", cut.alias("ancestors"))
     nodes = stored(nodes.repartitionByRange(n, "start").sortWithinPartitions("start"), f"{base}/nodes")
     leaves = stored(convs.join(ranked.select("key", "path"), "key").select("conv_id", "path", F.size("steps").cast("long").alias("n_turns")), f"{base}/leaves")
     return {"nodes": nodes, "paths": paths.select("path", "depth", "start"), "leaves": leaves}
 
 
-def read_back(tables: dict[str, DataFrame]) -> DataFrame:
-    """What the emission holds of each conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+def read_back(tables: dict[str, DataFrame], definition: str | None = None) -> DataFrame:
+    """What the emission holds of each conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens."""
     text = F.expr(f"substring(formatted, {len(HEAD) + 1}, length(formatted) - {len(HEAD) + len(TAIL)})")
-    nodes = tables["nodes"].withColumn("inner", text).select(
+    small_batches(tables["nodes"].sparkSession)
+    plain = decoded_turns(tables["nodes"], definition or definition_of(TOKENIZER)).withColumn("inner", text)
+    nodes = plain.join(tables["nodes"].select("start", F.size("tokens").cast("long").alias("size")), "start").select(
         "start",
+        "size",
         F.length("formatted").cast("long").alias("chars"),
         F.concat(_role_in(F.expr("substring(inner, 1, instr(inner, '\\n') - 1)")), F.lit("\n"), unescaped(F.expr("substring(inner, instr(inner, '\\n') + 1)")), F.lit("\n")).alias("plain"),
-        unescaped(F.expr("substring(formatted, cast(loss_from AS int) + 1, cast(loss_to - loss_from AS int))")).alias("loss"),
+        unescaped(F.col("loss")).alias("loss"),
     )
-    rows = tables["paths"].join(nodes, "start").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("depth", "plain", "loss", "chars"))).alias("turns"))
+    rows = tables["paths"].join(nodes, "start").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("depth", "plain", "loss", "chars", "size"))).alias("turns"))
     loss = F.array_join("turns.loss", "")
     rows = rows.select(
         "path",
@@ -134,6 +207,7 @@ def read_back(tables: dict[str, DataFrame]) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.aggregate("turns.chars", F.lit(0).cast("long"), lambda a, x: a + x).alias("formatted_chars"),
+        F.aggregate("turns.size", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"),
     )
     return tables["leaves"].select("conv_id", "path").join(rows, "path").drop("path")
 
@@ -146,7 +220,7 @@ def with_planted(conversations: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = with_planted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return read_back(build(conversations, shared_dir(spark, "chat")))
+    return read_back(build(conversations, shared_dir(spark, "chat"))).drop("n_tokens")
 
 
 ORACLE = r"""

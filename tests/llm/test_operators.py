@@ -447,10 +447,17 @@ def test_chat(spark, tmp_path, nothing):
         assert got[c]["n_turns"] == len(mine) and got[c]["loss_chars"] == len(loss)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine).encode()).hexdigest()
         assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(token_parquet.definition_of(chat_format.TOKENIZER))
     nodes = sorted(tables["nodes"].collect(), key=lambda r: r["start"])
     at, path = 0, []
     for n in nodes:  # one emission without gaps, depth first; ancestors are the stretches of the path
-        assert n["start"] == at and n["formatted"].count("<|") == 2
+        formatted = tokenizer.decode(n["tokens"], skip_special_tokens=False)
+        assert n["start"] == at and formatted.count("<|") == 2 and n["end"] - n["start"] == len(n["tokens"])
+        masked = tokenizer.decode(n["tokens"][n["loss_from"] : n["loss_to"]], skip_special_tokens=False)
+        role, body = formatted.removeprefix("<|im_start|>").removesuffix("<|im_end|>\n").split("\n", 1)
+        assert masked == (body if role == "assistant" else "")
         at = n["end"]
         path = path[: n["depth"] - 1] + [n]
         stretches = []
@@ -651,3 +658,43 @@ def test_line_dedup(spark, corpus, nothing):
     mine = sorted((r["doc_id"], str(r["text"]), r["n_removed"]) for r in got)
     assert mine == sorted((i, str(want[i, t][0]), want[i, t][1]) for i, t in rows)
     assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+# --- the pipeline ---------------------------------------------------------------------------
+def test_pipeline_stages_in_sequence(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, copies, benchmark passages and clashing names go through all stages; no table is too small."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    words = lambda rng, n, size=4000: [f"w{rng.randrange(size)}" for _ in range(n)]
+    plain = [" ".join(words(rng, rng.randrange(30, 120))) + "." for _ in range(120)]
+    rows = [(i, t, ["en", "de", None][i % 3], f"src{i % 4}", "mine") for i, t in enumerate(plain)]
+    passage = " ".join(f"bench{k}" for k in range(14))
+    rows += [(200 + k, plain[k], "en", "src1", "copy") for k in range(10)]  # exact copies
+    rows += [(220 + k, plain[k].replace(plain[k].split()[3], "changed", 1), "en", "src2", "near") for k in range(10) if len(plain[k].split()) > 60]
+    rows += [(240, f"{' '.join(words(rng, 2000))} {passage} end", "en", "src0", "hit"), (241, passage.upper(), "en", "src3", "hit")]
+    rows += [(260, None, None, None, "null"), (261, "", "en", "src0", "empty"), (262, " ".join(words(rng, 20_000, 9000)), "en", "src0", "long"), rows[5], rows[5], (None, "no id here " * 10, "en", "src0", "none")]
+    columns = "doc_id long, text string, lang string, source string, epoch string, tokens string, n_hit string, score string, leaf string"
+    docs = spark.createDataFrame([(*r[:4], *[r[4]] * 5) for r in rows], columns)
+    sf = f"{tmp_path}/sf"
+    spark.createDataFrame([(i, 1) for i in range(120)] + [(None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([("i", passage), ("n", None)], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    kept = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, kept, sf)
+        out.write.parquet(f"{tmp_path}/{k}")
+        before, kept = kept, spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert kept.columns == docs.columns, name
+            assert kept.distinct().exceptAll(docs.distinct()).count() == 0  # rows as they were
+        mine = {r["doc_id"] for r in kept.select("doc_id").collect()}
+        if k == 1:
+            assert not mine & set(range(200, 230)) and set(range(120)) <= mine  # the first of each group stays
+            assert kept.where("doc_id = 5").count() == 1
+        if k == 2:
+            assert not mine & {240, 241} and {r["doc_id"] for r in before.select("doc_id").collect()} - mine == {240, 241}
+    tokens = {r["doc_id"]: r["n_tokens"] for r in kept.collect()}
+    assert set(tokens) <= mine | {None} and all(n >= 1 for n in tokens.values())
+    none = docs.where("false")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, none, sf).count() == 0, name
