@@ -3,8 +3,8 @@
 A text is cut into words (runs of letters, digits and non-ASCII bytes) and marks (runs of other visible characters).
 Features are hashed into ``2 ** BITS`` weights: unigrams and bigrams of the lower-cased tokens, and n-grams of one to three
 token shapes (capitals, capitalised, lower case, digits, the marks themselves, "same as before"), which carry over to words never
-seen. A family's features have the value count / tokens, so a score is a sparse dot product that streams over the
-tokens and needs no counting. Only text is a feature: no label, language, source or id.
+seen. A family's features have the value count / tokens, so a score is a sparse dot product over the tokens, without counting them; a text
+longer than ``CHUNK`` is scored in slices, each with the three tokens before it. Only text is a feature: no label, language, source or id.
 
 Training takes at most ``SAMPLE`` labelled rows, those of smallest id hash; that is the only bound, and it fits the model
 alone. Their features are made on the executors, sorted by id hash and epoch, and one task runs the sequential FTRL-proximal
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, Words, as_bytes, chunks, clean_select, documents, mixed, remainder, small_batches, tidy
+from corpusloom.llm.common import LOWER, Words, as_bytes, chunks, clean_select, documents, mixed, remainder, slices, small_batches, tidy
 from corpusloom.llm.rowwise import kept_rows, with_computed
 
 BITS = 18
@@ -42,11 +42,11 @@ CHUNK = 1 << 20
 _KIND = np.full(256, 2, dtype=np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E), 0]] = 0
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
-_UPPER = np.zeros(256, dtype=np.int64)
+_UPPER = np.zeros(256, dtype=np.int32)
 _UPPER[0x41:0x5B] = 1
-_LOW = np.zeros(256, dtype=np.int64)
+_LOW = np.zeros(256, dtype=np.int32)
 _LOW[0x61:0x7B] = 1
-_DIGIT = np.zeros(256, dtype=np.int64)
+_DIGIT = np.zeros(256, dtype=np.int32)
 _DIGIT[0x30:0x3A] = 1
 
 
@@ -67,7 +67,7 @@ class _Tokens(Words):
 
 
 def _count(table: np.ndarray, tokens: _Tokens) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(table[tokens.raw])))
+    total = np.concatenate(([0], np.cumsum(table[tokens.raw], dtype=np.int32)))
     return total[tokens.ends] - total[tokens.starts]
 
 
@@ -159,8 +159,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = SAMPLE, ep
 
 def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     """The probability of each text's label 1: a sparse dot product and the logistic function."""
-    slots, values, first = features(texts)
-    return 1 / (1 + np.exp(-np.clip(_sums(weights, slots, values, first) + float(weights[-1]), -35, 35)))
+    long = [i for i, t in enumerate(texts) if len(t) > CHUNK]
+    sums = _sums(weights, *features([b"" if len(t) > CHUNK else t for t in texts]))
+    sums[long] = [_long_sum(texts[i], weights) for i in long]
+    return 1 / (1 + np.exp(-np.clip(sums + float(weights[-1]), -35, 35)))
+
+
+#: Tokens before a token that its features look at, and features a token.
+_BEFORE, _FAMILIES = 3, 5
+
+
+def _long_sum(text: bytes, weights: np.ndarray) -> float:
+    """The sparse dot product of one text, slice by slice."""
+    total, n, before, again = 0.0, 0, b"", 0
+    for a, b in slices(text, CHUNK):
+        piece = before + text[a:b]
+        tokens = _Tokens([piece])
+        slots, _, _ = features([piece])
+        total += float(weights[slots[again * _FAMILIES :]].sum(dtype=np.float64))
+        n += len(tokens.starts) - again
+        if len(tokens.starts):
+            again = min(_BEFORE, len(tokens.starts))
+            before = tokens.raw[tokens.starts[-again] : 1 + len(piece)].tobytes()
+    return SCALE * total / max(n, 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -304,6 +304,48 @@ def test_quality_learns_shapes(spark, nothing):
     assert quality.kept(nothing, known).columns == nothing.columns
 
 
+def test_quality_updates_as_written(spark):
+    """The weights of a plain follow-the-regularised-leader loop over dictionaries, in the order of id hash and epoch; ties, clashing names, nulls."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice(["good", "bad", "Fine!", "NO", "7", "so-so"]) for _ in range(rng.randrange(0, 12))), "x", "y") for i in range(60)]
+    rows += [(60, None, "x", "y"), (3, rows[3][1], "x", "y")]
+    labels = [(i, i % 2) for i in range(61)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, quality string")
+    got = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    at = {r["doc_id"]: r["at"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("at")).collect()}
+    z, n, size = defaultdict(float), defaultdict(float), len(got)
+    weight = lambda k: 0.0 if abs(z[k]) <= quality.L1 else (math.copysign(quality.L1, z[k]) - z[k]) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+    for _ in range(quality.EPOCHS):
+        for i, text, *_ in sorted(rows, key=lambda r: at[r[0]]):
+            slots, values, _ = quality.features([(text or "").encode()])
+            x = Counter({size - 1: 1.0})
+            for k, v in zip(slots.tolist(), values.tolist(), strict=True):
+                x[k] += v
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - i % 2) * v
+                step = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA
+                z[k] += g - step * w[k]
+                n[k] += g * g
+    want = np.zeros(size)
+    for k in list(z):
+        want[k] = weight(k)
+    assert np.allclose(got, want, atol=1e-4) and np.abs(want).max() > 0.01
+    scored = quality.score(docs, got)
+    assert scored.columns == ["doc_id", "text", "quality", "score", "predicted"] and scored.where("score BETWEEN 0 AND 1").count() == len(rows)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.text(alphabet="aB7 .,!\n", max_size=400), st.integers(5, 60))
+def test_quality_of_long_texts_in_slices(text, chunk):
+    weights = np.random.default_rng(1).normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    whole = quality.scores([text.encode()], weights)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "CHUNK", chunk)
+        assert np.allclose(quality.scores([text.encode(), b"a b"], weights)[0], whole[0], atol=1e-5)
+
+
 # --- 5 --------------------------------------------------------------------------------------
 class BruteKatz:
     """Katz from plain counts of the texts: probabilities by the recursion over dictionaries."""
