@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import at_work, clean_select, shared_dir, small_batches, stored, tidy
+from corpusloom.llm.common import at_work, clean_select, shared_dir, stored, tidy
 from corpusloom.llm.token_parquet import definition_of
 
 HEAD, BREAK, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -117,7 +117,7 @@ def encoded_turns(contents: DataFrame, definition: str) -> DataFrame:
 
 
 def decoded_turns(nodes: DataFrame, definition: str) -> DataFrame:
-    """start, formatted, loss: what the tokens of ``nodes`` say, all of them and those under the mask."""
+    """start, size, formatted, loss: what the tokens of ``nodes`` say, all of them and those under the mask."""
     sent = nodes.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +125,10 @@ def decoded_turns(nodes: DataFrame, definition: str) -> DataFrame:
         for batch in batches:
             tokens, begins, ends = (batch.column(k).to_pylist() for k in (1, 2, 3))
             plain = [tokenizer.decode_batch([x[a:b] if cut else x for x, a, b in zip(tokens, begins, ends, strict=True)], skip_special_tokens=False) for cut in (False, True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in plain)], names=["start", "formatted", "loss"])
+            size = pa.array([len(x) for x in tokens], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, *(pa.array(x, pa.string()) for x in plain)], names=["start", "size", "formatted", "loss"])
 
-    return nodes.select("start", "tokens", "loss_from", "loss_to").mapInArrow(tidy(run), "start long, formatted string, loss string")
+    return nodes.select("start", "tokens", "loss_from", "loss_to").mapInArrow(tidy(run), "start long, size long, formatted string, loss string")
 
 
 def build(conversations: DataFrame, base: str, definition: str | None = None) -> dict[str, DataFrame]:
@@ -189,9 +190,9 @@ def _built(conversations: DataFrame, base: str, definition: str) -> dict[str, Da
 def read_back(tables: dict[str, DataFrame], definition: str | None = None) -> DataFrame:
     """What the emission holds of each conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens."""
     text = F.expr(f"substring(formatted, {len(HEAD) + 1}, length(formatted) - {len(HEAD) + len(TAIL)})")
-    small_batches(tables["nodes"].sparkSession)
-    plain = decoded_turns(tables["nodes"], definition or definition_of(TOKENIZER)).withColumn("inner", text)
-    nodes = plain.join(tables["nodes"].select("start", F.size("tokens").cast("long").alias("size")), "start").select(
+    plain = decoded_turns(tables["nodes"], definition or definition_of(TOKENIZER))
+    plain = stored(plain, f"{shared_dir(plain.sparkSession, 'chat-read')}/turns").withColumn("inner", text)
+    nodes = plain.select(
         "start",
         "size",
         F.length("formatted").cast("long").alias("chars"),
