@@ -232,6 +232,11 @@ def incomplete_pages(body: Column, source_format: Column) -> Column:
     return F.when(F.coalesce(source_format, F.lit("")) == "md", F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(numbers)))
 
 
+def differences(want: Column, have: Column) -> tuple[Column, Column]:
+    """(what is missing, what is unexpected) of two lists of names."""
+    return F.array_except(want, have), F.array_except(have, want)
+
+
 def front_matter_problems(present: Column, get) -> Column:
     """Violations of the front-matter contract as an array of names; empty means valid.
 
@@ -239,7 +244,7 @@ def front_matter_problems(present: Column, get) -> Column:
     """
     fields = F.array(*(F.lit(f) for f in FRONT_FIELDS))
     iso = r"^\d{4}-\d{2}-\d{2}$"
-    missing, extra = F.array_except(fields, present), F.array_except(present, fields)
+    missing, extra = differences(fields, present)
     source, date, kind, ocr = get("source_file"), get("doc_date"), get("text_class"), get("needs_ocr")
     known = F.coalesce(kind.isin(*TEXT_CLASSES), F.lit(False))
     checks = [

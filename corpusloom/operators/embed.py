@@ -6,7 +6,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Texts and characters in a request, tries after the first, seconds between them, what an over-long text keeps, and its least length. Fixed values.
 MOST_TEXTS, MOST_CHARS, RETRIES, PAUSE, KEEP, LEAST = 32, 40_000, 2, 2.0, 0.75, 256
@@ -31,6 +32,18 @@ def batches(sizes: list[int], most_texts: int = MOST_TEXTS, most_chars: int = MO
     return out + ([(begin, len(sizes))] if begin < len(sizes) else [])
 
 
+def batch_numbers(sizes: Column, most_texts: int = MOST_TEXTS, most_chars: int = MOST_CHARS) -> Column:
+    """The same bounds over an array of sizes: which batch each text is in, from 0."""
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("texts"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("out"))
+
+    def step(at: Column, n: Column) -> Column:
+        full = (at["texts"] > 0) & ((at["texts"] >= most_texts) | (at["chars"] + n > most_chars))
+        batch = at["batch"] + full.cast("int")
+        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(at["texts"] + 1).alias("texts"), F.when(full, n).otherwise(at["chars"] + n).alias("chars"), F.concat(at["out"], F.array(batch)).alias("out"))
+
+    return F.aggregate(sizes, start, step, lambda at: at["out"])
+
+
 def _tried(embed: Callable[[list[str]], list], texts: list[str], pause: float) -> list:
     for k in range(RETRIES + 1):
         try:

@@ -70,15 +70,37 @@ def bounded_outline(entries: DataFrame, budget: int) -> DataFrame:
     return rows.withColumn("used", used).withColumn("nth", first).where((F.col("used") <= budget) | (F.col("nth") == 1)).drop("used", "nth", "most")
 
 
-def _block_range(kb: dict[str, DataFrame], slug: str, lo, hi) -> DataFrame:
-    return kb["blocks"].where((F.col("slug") == slug) & F.col("ordinal").between(lo, hi))
+def block_range(blocks: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Blocks numbered ``lo`` to ``hi``."""
+    return blocks.where(F.col("ordinal").between(lo, hi))
 
 
-def resolve_page(sections: DataFrame, slug: str, page: int) -> int | None:
-    """The section that holds ``page`` (the first of several), else the one whose first page is nearest (the first of several)."""
-    rows = sections.where((F.col("slug") == slug) & F.col("page_first").isNotNull())
+def overlapping(chunks: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Chunks that cover any of the blocks ``lo`` to ``hi``."""
+    return chunks.where((F.col("block_last") >= lo) & (F.col("block_first") <= hi))
+
+
+def page_sections(sections: DataFrame, page: int) -> DataFrame:
+    """slug, section_index: of each document the section that holds ``page`` (the first of several), else the one whose first page is nearest (the first)."""
     inside = (F.col("page_first") <= page) & (F.col("page_last") >= page)
-    best = rows.orderBy(F.when(inside, 0).otherwise(1), F.when(inside, 0).otherwise(F.abs(F.col("page_first") - page)), "section_index").select("section_index").head(1)
+    key = F.struct(F.when(inside, 0).otherwise(1), F.when(inside, 0).otherwise(F.abs(F.col("page_first") - page)), "section_index")
+    return sections.where("page_first IS NOT NULL").groupBy("slug").agg(F.min_by("section_index", key).alias("section_index"))
+
+
+def neighbour_ranges(sections: DataFrame, neighbours: int) -> DataFrame:
+    """slug, section_index, lo, hi: the sections that come with each one."""
+    last = F.max("section_index").over(Window.partitionBy("slug"))
+    at = F.col("section_index")
+    return sections.select("slug", "section_index", F.greatest(F.lit(0), at - neighbours).alias("lo"), F.least(last, at + neighbours).alias("hi"))
+
+
+def end_blocks() -> list[Column]:
+    """first_block, last_block: the ids of a group's first and last block."""
+    return [F.min_by("block_id", "ordinal").alias("first_block"), F.max_by("block_id", "ordinal").alias("last_block")]
+
+
+def resolve_page(sections: DataFrame, slug: str, page: int) -> int | None:
+    best = page_sections(sections.where(F.col("slug") == slug), page).select("section_index").head(1)
     return best[0][0] if best else None
 
 
@@ -95,10 +117,11 @@ def fetch(kb: dict[str, DataFrame], key: str, neighbours: int = 0, most_chars: i
     doc = doc[0]
     lo, hi, path, title, own = 0, 2**31 - 1, doc["title"], doc["title"], None
     if kind == "sec":
-        last = kb["sections"].where(F.col("slug") == slug).agg(F.max("section_index")).first()[0]
-        if last is None or n > last:
+        mine = kb["sections"].where(F.col("slug") == slug)
+        reach = neighbour_ranges(mine, neighbours).where(F.col("section_index") == n).head(1)
+        if not reach:
             raise ValueError(f"unknown id: {key}")
-        rows = kb["sections"].where((F.col("slug") == slug) & F.col("section_index").between(max(0, n - neighbours), min(last, n + neighbours)))
+        rows = mine.where(F.col("section_index").between(reach[0]["lo"], reach[0]["hi"]))
         span = rows.agg(F.min("block_first"), F.max("block_last"), F.max(F.when(F.col("section_index") == n, F.col("heading_path")))).first()
         lo, hi, path = span
         title = path
@@ -108,14 +131,14 @@ def fetch(kb: dict[str, DataFrame], key: str, neighbours: int = 0, most_chars: i
             raise ValueError(f"unknown id: {key}")
         lo, hi, path, own = found[0]["block_first"], found[0]["block_last"], found[0]["heading_path"] or doc["title"], found[0]["text"]
         title = path
-    blocks = _block_range(kb, slug, lo, hi)
+    blocks = block_range(kb["blocks"].where(F.col("slug") == slug), lo, hi)
     if kind == "page":
         blocks = kb["blocks"].where((F.col("slug") == slug) & (F.col("page") == n))
         path, title = f"page {n}", f"{doc['title']} — page {n}"
     text = F.lit(own) if own is not None else joined_text()
     row = blocks.agg(
         text.alias("text"), F.count(F.lit(1)).alias("n_blocks"), F.min("page").alias("page_first"), F.max("page").alias("page_last"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"),
-        F.min_by("block_id", "ordinal").alias("first_block"), F.max_by("block_id", "ordinal").alias("last_block"),
+        *end_blocks(),
     )
     if kind == "page" and row.first()["n_blocks"] == 0:
         raise ValueError(f"unknown id: {key}")
@@ -147,7 +170,7 @@ def _breakdown(kb, slug: str, kind: str, chunks: DataFrame, row: DataFrame, most
     if kind == "chunk":
         return F.lit(lead + "\nNothing smaller is indexed for this id.")
     span = row.select("lo", "hi").first()
-    inside = chunks.where((F.col("block_last") >= span["lo"]) & (F.col("block_first") <= span["hi"])).withColumn("slug", F.lit(slug))
+    inside = overlapping(chunks, span["lo"], span["hi"]).withColumn("slug", F.lit(slug))
     marks = signposts(inside).orderBy("chunk_index").collect()  # a dozen rows
     ends = inside.agg(F.min("chunk_index"), F.max("chunk_index")).first()
     return F.lit("\n".join([lead, f"chunk:{slug}:{ends[0]} … chunk:{slug}:{ends[1]}", "", *(f"- chunk:{slug}:{m['chunk_index']} — {m['landmark']}" for m in marks)]))

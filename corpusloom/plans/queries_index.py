@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import blocks as B
 from corpusloom.operators import chunks as C
+from corpusloom.operators import embed as EM
 from corpusloom.operators import lookup as L
 from corpusloom.operators import manifest as M
 from corpusloom.operators import sections as X
@@ -117,18 +118,15 @@ def block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.blocks(spark, sf_dir).groupBy("slug", "page").agg(F.min("block_id").alias("first_id"), F.max("block_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("win4_embed_batches")
+@query("win4_embed_batches", W.replace("WITH", "WITH RECURSIVE") + sql.CHUNKS + """, c AS (SELECT slug, chunk_index AS i, length(text) AS n FROM chunks),
+f AS (SELECT slug, i, n, 0 AS batch, 1 AS texts, n AS chars FROM c WHERE i = 0
+  UNION ALL SELECT slug, i, n, batch + is_full::INT, CASE WHEN is_full THEN 1 ELSE texts + 1 END, CASE WHEN is_full THEN n ELSE chars + n END
+  FROM (SELECT c.slug, c.i, c.n, f.batch, f.texts, f.chars, f.texts >= 32 OR f.chars + c.n > 40000 AS is_full FROM f JOIN c ON c.slug = f.slug AND c.i = f.i + 1))
+SELECT slug, batch, count(*) AS texts, sum(n)::BIGINT AS chars FROM f GROUP BY slug, batch""")
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's chunks in batches for the embedder: at most 32 texts and 40000 characters."""
     sizes = K.chunks(spark, sf_dir).groupBy("slug").agg(F.sort_array(F.collect_list(F.struct("chunk_index", F.length("text").alias("n")))).alias("c"))
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("k"), F.lit(0).alias("t"), F.array().cast("array<int>").alias("out"))
-
-    def step(s, x):
-        new = (s["k"] > 0) & ((s["k"] >= 32) | (s["t"] + x["n"] > 40_000))
-        b = s["b"] + new.cast("int")
-        return F.struct(b.alias("b"), F.when(new, 1).otherwise(s["k"] + 1).alias("k"), F.when(new, x["n"]).otherwise(s["t"] + x["n"]).alias("t"), F.concat(s["out"], F.array(b)).alias("out"))
-
-    rows = sizes.withColumn("batch", F.aggregate("c", start, step, lambda s: s["out"]))
+    rows = sizes.withColumn("batch", EM.batch_numbers(F.col("c.n")))
     return rows.select("slug", F.explode(F.arrays_zip("c", "batch")).alias("z")).groupBy("slug", F.col("z.batch").alias("batch")).agg(F.count(F.lit(1)).alias("texts"), F.sum("z.c.n").alias("chars"))
 
 
@@ -321,33 +319,29 @@ def bounded_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fil5_block_range", W + sql.BLOCKS + " SELECT slug, ordinal, block_id FROM blocks WHERE ordinal BETWEEN 2 AND 4")
 def block_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.blocks(spark, sf_dir).where(F.col("ordinal").between(2, 4)).select("slug", "ordinal", "block_id")
+    return L.block_range(K.blocks(spark, sf_dir), 2, 4).select("slug", "ordinal", "block_id")
 
 
 @query("fil6_overlap", W.replace("WITH", "WITH RECURSIVE") + sql.CHUNKS + " SELECT slug, chunk_index FROM chunks WHERE block_last >= 3 AND block_first <= 5")
 def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.chunks(spark, sf_dir).where("block_last >= 3 AND block_first <= 5").select("slug", "chunk_index")
+    return L.overlapping(K.chunks(spark, sf_dir), 3, 5).select("slug", "chunk_index")
 
 
 @query("fil7_page_section", W + sql.SECTIONS + """, c AS (SELECT *, page_first <= 2 AND page_last >= 2 AS inside FROM sections WHERE page_first IS NOT NULL)
 SELECT slug, arg_min(section_index, (CASE WHEN inside THEN 0 ELSE 1000000 + abs(page_first - 2) * 1000 END) + section_index / 1e6) AS section_index FROM c GROUP BY slug""")
 def page_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's section for page 2: the first that holds it, else the first of the nearest."""
-    inside = (F.col("page_first") <= 2) & (F.col("page_last") >= 2)
-    key = F.struct(F.when(inside, 0).otherwise(1), F.when(inside, 0).otherwise(F.abs(F.col("page_first") - 2)), "section_index")
-    return K.sections(spark, sf_dir).where("page_first IS NOT NULL").groupBy("slug").agg(F.min_by("section_index", key).alias("section_index"))
+    return L.page_sections(K.sections(spark, sf_dir), 2)
 
 
 @query("topk2_first_last_block", W + sql.BLOCKS + " SELECT slug, arg_min(block_id, ordinal) AS first_block, arg_max(block_id, ordinal) AS last_block FROM blocks GROUP BY slug")
 def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.blocks(spark, sf_dir).groupBy("slug").agg(F.min_by("block_id", "ordinal").alias("first_block"), F.max_by("block_id", "ordinal").alias("last_block"))
+    return K.blocks(spark, sf_dir).groupBy("slug").agg(*L.end_blocks())
 
 
 @query("win15_neighbours", W + sql.SECTIONS + " SELECT slug, section_index, greatest(0, section_index - 2) AS lo, least(max(section_index) OVER (PARTITION BY slug), section_index + 2) AS hi FROM sections")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = K.sections(spark, sf_dir).select("slug", "section_index")
-    last = s.groupBy("slug").agg(F.max("section_index").alias("last"))
-    return s.join(last, "slug").select("slug", "section_index", F.greatest(F.lit(0), F.col("section_index") - 2).alias("lo"), F.least("last", F.col("section_index") + 2).alias("hi"))
+    return L.neighbour_ranges(K.sections(spark, sf_dir), 2)
 
 
 @query("win16_signposts", W.replace("WITH", "WITH RECURSIVE") + sql.CHUNKS + """, g AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY chunk_index) - 1 AS i, greatest(1, ceil(count(*) OVER (PARTITION BY slug) / 12.0))::BIGINT AS step FROM chunks)

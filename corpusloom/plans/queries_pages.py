@@ -104,7 +104,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cells(w).withColumn("text", F.md5("text"))
 
 
-@query("win9_gutters")
+@query("win9_gutters", "WITH " + _WORDS + """, v AS (SELECT doc, page, x0 + CASE WHEN k >= 5 THEN 40 ELSE 0 END AS x0, x1 + CASE WHEN k >= 5 THEN 40 ELSE 0 END AS x1 FROM words),
+r AS (SELECT *, max(x1) OVER (PARTITION BY doc, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, count(*) OVER (PARTITION BY doc, page) AS n FROM v),
+g AS (SELECT DISTINCT doc, page, n, reach, x0 FROM r WHERE n >= 20 AND x0 > reach AND x0 - reach >= 580 * 0.06::DOUBLE AND (reach + x0) / 2 > 580 * 0.3::DOUBLE AND (reach + x0) / 2 < 580 * 0.7::DOUBLE),
+s AS (SELECT g.doc, g.page, g.reach AS gap_start, g.x0 AS gap_end, g.n, count(*) FILTER (v.x1 <= g.reach) AS a, count(*) FILTER (v.x0 >= g.x0) AS b FROM g JOIN v USING (doc, page) GROUP BY ALL)
+SELECT doc, page, min(gap_start) AS gap_start, arg_min(gap_end, gap_start) AS gap_end FROM s WHERE a / n > 0.25 AND b / n > 0.25 GROUP BY doc, page""")
 def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose fifth and sixth words are moved apart."""
     w = K.words(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.functions.terms import plain_tokens
 from corpusloom.operators import evals as E
 from corpusloom.operators import search as S
@@ -150,7 +151,8 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("x"))).otherwise(F.array(F.lit("b")))
     want = F.array(F.lit("a"), F.lit("b"))
-    return K.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_except(want, have), ",").alias("missing"), F.array_join(F.array_except(have, want), ",").alias("unexpected"))
+    missing, unexpected = T.differences(want, have)
+    return K.table(spark, sf_dir, "documents").select("doc_id", F.array_join(missing, ",").alias("missing"), F.array_join(unexpected, ",").alias("unexpected"))
 
 
 @query("join2_hit_sections", W + sql.SECTIONS + " SELECT s.* FROM sections s WHERE section_index = (regexp_extract(slug, '[0-9]+')::INT % 3)")
