@@ -104,7 +104,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chunks(spark, sf_dir).withColumn("chars", F.length("text")).withColumn("text", F.sha2("text", 256))
 
 
-@query("win17_table_pieces")
+@query("win17_table_pieces", """WITH RECURSIVE o AS (SELECT o_custkey // 20 AS g, o_orderkey::VARCHAR AS a, o_totalprice::VARCHAR AS b FROM orders),
+l AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY a, b) AS i, length('| ' || a || ' | ' || b || ' |') AS n, length('| order | price |') + 1 + length('| --- | --- |') AS h FROM o),
+f AS (SELECT g, i, n, h, 0 AS piece, h + 1 + n AS chars, 1 AS n_rows FROM l WHERE i = 1
+  UNION ALL SELECT l.g, l.i, l.n, l.h, piece + (chars + 1 + l.n > """ + str(C.MOST) + """)::INT, CASE WHEN chars + 1 + l.n > """ + str(C.MOST) + """ THEN l.h + 2 + f.n + l.n ELSE chars + 1 + l.n END, CASE WHEN chars + 1 + l.n > """ + str(C.MOST) + """ THEN 2 ELSE n_rows + 1 END
+  FROM f JOIN l ON l.g = f.g AND l.i = f.i + 1)
+SELECT g, piece, max(chars) AS chars, max(n_rows) AS rows FROM f GROUP BY g, piece""")
 def table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as a pipe table for each 20 customers, cut between rows; a customer's orders do not grow with the table."""
     rows = K.table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 20).alias("g"), F.col("o_orderkey").cast("string").alias("a"), F.col("o_totalprice").cast("string").alias("b"))
@@ -275,7 +280,11 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.outline(_kb(spark, sf_dir))
 
 
-@query("cut1_bounded_outline")
+@query("cut1_bounded_outline", W + sql.SECTIONS + """, ct AS (SELECT slug, section_index, level, 'sec:' || slug || ':' || section_index AS id, length('- sec:' || slug || ':' || section_index || ' ' || coalesce(heading, '')) + 1 AS n FROM sections),
+cm AS (SELECT slug, min(level) AS least, """ + ", ".join(f"coalesce(sum(n) FILTER (level <= {k}), 0) AS s{k}" for k in range(1, 7)) + """ FROM ct GROUP BY slug),
+cp AS (SELECT slug, CASE """ + " ".join(f"WHEN s{k} <= 300 AND {k} >= least THEN {k}" for k in range(6, 0, -1)) + """ ELSE greatest(least, 1) END AS most FROM cm),
+cr AS (SELECT ct.*, sum(n) OVER (PARTITION BY slug ORDER BY section_index) AS used, row_number() OVER (PARTITION BY slug ORDER BY section_index) AS nth FROM ct JOIN cp USING (slug) WHERE level <= most)
+SELECT id, slug, section_index, level FROM cr WHERE used <= 300 OR nth = 1""")
 def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = L.outline(_kb(spark, sf_dir)).withColumn("line", F.concat(F.lit("- "), "id", F.lit(" "), F.coalesce("heading", F.lit(""))))
     return L.bounded_outline(lines, 300).select("id", "slug", "section_index", "level")

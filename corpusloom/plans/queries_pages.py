@@ -41,7 +41,11 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KLASS = "clean partial needs_ocr error".split()
 
 
-@query("agg3_report_totals", W + _ENTRIES + ", k AS (SELECT *, status <> 'missing' AND text_class IS NOT NULL AS tri FROM x), a AS (SELECT count(*) AS documents_in_manifest, count(*) FILTER (tri) AS documents_triaged, count(*) FILTER (status = 'missing') AS documents_missing, count(*) FILTER (status <> 'missing' AND NOT tri) AS documents_untriaged, coalesce(sum(page_count) FILTER (tri), 0) AS pages_total, coalesce(sum(low_pages) FILTER (tri), 0) AS low_pages_total, " + ", ".join(f"count(*) FILTER (tri AND text_class = '{c}') AS {c}_documents, coalesce(sum(page_count) FILTER (tri AND text_class = '{c}'), 0) AS {c}_pages" for c in _KLASS) + " FROM k) SELECT *, round_even(needs_ocr_documents / nullif(documents_triaged, 0), 4) AS needs_ocr_document_fraction, round_even(needs_ocr_pages / nullif(pages_total, 0), 4) AS needs_ocr_page_fraction, round_even(low_pages_total / nullif(pages_total, 0), 4) AS low_page_fraction FROM a")
+_TOTALS = W + _ENTRIES + ", k AS (SELECT *, status <> 'missing' AND text_class IS NOT NULL AS tri FROM x), a AS (SELECT count(*) AS documents_in_manifest, count(*) FILTER (tri) AS documents_triaged, count(*) FILTER (status = 'missing') AS documents_missing, count(*) FILTER (status <> 'missing' AND NOT tri) AS documents_untriaged, coalesce(sum(page_count) FILTER (tri), 0) AS pages_total, coalesce(sum(low_pages) FILTER (tri), 0) AS low_pages_total, " + ", ".join(f"count(*) FILTER (tri AND text_class = '{c}') AS {c}_documents, coalesce(sum(page_count) FILTER (tri AND text_class = '{c}'), 0) AS {c}_pages" for c in _KLASS) + " FROM k) SELECT *, round_even(needs_ocr_documents / nullif(documents_triaged, 0), 4) AS needs_ocr_document_fraction, round_even(needs_ocr_pages / nullif(pages_total, 0), 4) AS needs_ocr_page_fraction, round_even(low_pages_total / nullif(pages_total, 0), 4) AS low_page_fraction FROM a"
+_TOTAL_NAMES = sorted([f"{c}_{of}" for c in _KLASS for of in ("documents", "pages")] + ["documents_in_manifest", "documents_missing", "documents_triaged", "documents_untriaged", "low_page_fraction", "low_pages_total", "needs_ocr_document_fraction", "needs_ocr_page_fraction", "pages_total"])
+
+
+@query("agg3_report_totals", _TOTALS)
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.report_totals(_entries(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def stop_and_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stop_and_ask(_entries(spark, sf_dir).withColumn("text_class", F.lit("clean")), spark.createDataFrame([(".xls", 2), (".tmp", 3)], "extension string, files long"))
 
 
-@query("sink5_report_json")
+@query("sink5_report_json", "SELECT to_json({" + ", ".join(f"'{n}': {n}" for n in _TOTAL_NAMES) + "})::VARCHAR AS report FROM (" + _TOTALS + ")")
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.report_json(R.report_totals(_entries(spark, sf_dir)))
 
