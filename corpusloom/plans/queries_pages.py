@@ -122,14 +122,13 @@ def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("agg12_margins", "WITH " + _WORDS + r""", ps AS (SELECT doc, count(DISTINCT page) AS pages FROM words GROUP BY doc),
-mg AS (SELECT DISTINCT doc, page, regexp_replace(lower(left(text, 0) || 'Header ' || page), '\d+', '#', 'g') AS key FROM lines WHERE top <= 760 * 0.08),
+mg AS (SELECT DISTINCT doc, page, regexp_replace(lower(CASE WHEN top <= 760 * 0.08 THEN 'Header ' || page ELSE 'x ' || line END), '\d+', '#', 'g') AS key FROM lines WHERE top <= 760 * 0.08 OR bottom >= 760 - 760 * 0.08),
 n AS (SELECT doc, key, count(*) AS n FROM mg GROUP BY doc, key) SELECT doc, key FROM n JOIN ps USING (doc) WHERE pages >= 3 AND n.n >= greatest(2, floor(pages * 0.5))""")
 def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in the top margin get a running header with the page's number."""
+    """Lines in the top margin get a running header with the page's number, the others their own number: those at the foot repeat as well."""
     w = K.words(spark, sf_dir)
     rows = w.groupBy("doc", "page", F.col("row").alias("line")).agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"))
     rows = rows.withColumn("text", F.when(F.col("top") <= 760 * 0.08, F.concat(F.lit("Header  "), F.col("page").cast("string"))).otherwise(F.concat(F.lit("x "), F.col("line").cast("string"))))
-    rows = rows.where("bottom < 690")
     return G.repeated_margins(rows, _page_sizes(w))
 
 

@@ -59,9 +59,9 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("slug", "ordinal", T.heading_level(F.col("h")).alias("level"), T.heading_text(F.col("h")).alias("heading"))
 
 
-@query("txt_margin_key", r"SELECT doc_id, regexp_replace(trim(regexp_replace(lower(substr(text, 1, 200) || ' page ' || doc_id), '\s+', ' ', 'g')), '\d+', '#', 'g') AS key FROM documents")
+@query("txt_margin_key", r"SELECT doc_id, regexp_replace(trim(regexp_replace(lower(text || ' page ' || doc_id), '\s+', ' ', 'g')), '\d+', '#', 'g') AS key FROM documents")
 def margin_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.table(spark, sf_dir, "documents").select("doc_id", T.margin_key(F.concat(F.substring("text", 1, 200), F.lit(" page "), F.col("doc_id").cast("string"))).alias("key"))
+    return K.table(spark, sf_dir, "documents").select("doc_id", T.margin_key(F.concat("text", F.lit(" page "), F.col("doc_id").cast("string"))).alias("key"))
 
 
 @query("txt_normalized_markdown")

@@ -297,7 +297,7 @@ def test_hits_come_from_all_documents(spark, tmp_path):
     want = {i: i * 7919 % 1040 for i in range(50)}
     place = {i: sorted((d for d in range(40, 1040) if d // 8 == w // 8), key=lambda d: ((i * 7 + d * 13) % 101, d)) for i, w in want.items()}
     hits = sum(w in place[i][:5] for i, w in want.items())
-    got = QUERIES["agg11_hit_rate_whole"](spark, str(tmp_path)).first()
+    got = QUERIES["agg11_hit_rate"](spark, str(tmp_path)).first()
     assert (got["cases"], got["hits"]) == (50, hits) and hits > 0  # with ids below 40 alone there is none
 
 
