@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,6 +85,21 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def keeper(spark: SparkSession, name: str) -> Callable[[str, DataFrame], DataFrame]:
+    """Writes tables below a new folder of the shared store, which goes when the application ends, and reads them back."""
+    root = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+
+    def keep(table: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{root}/{table}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{table}")
+
+    return keep
+
+
 def stored_kb(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """``kb``, written once for each version of the documents and read from then on: searches and lookups work on tables, not on the texts."""
     key = (spark.sparkContext.applicationId, sf_dir, _version(spark, f"{sf_dir}/documents.parquet"))

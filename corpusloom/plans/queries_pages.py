@@ -156,7 +156,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("win12_text_blocks")
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = K.words(spark, sf_dir)
-    return G.text_blocks(w, _page_sizes(w)).select("doc", "page", "seq", "kind", "top", F.length("text").alias("chars"))
+    return G.text_blocks(w, _page_sizes(w), K.keeper(spark, "pages")).select("doc", "page", "seq", "kind", "top", F.length("text").alias("chars"))
 
 
 @query("win13_page_order", """WITH b AS (SELECT l_orderkey AS doc, 1 AS page, l_linenumber AS seq, CASE WHEN l_linenumber % 3 = 0 THEN 'annotation' ELSE 'paragraph' END AS kind, l_extendedprice AS top, l_orderkey % 2 = 0 AS two FROM lineitem)
