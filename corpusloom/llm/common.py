@@ -219,11 +219,6 @@ def word_counts(texts: list[bytes], size: int = CHUNK) -> np.ndarray:
     return np.array([sum(len(Words([t[a:b]], lower=False).starts) for a, b in slices(t, size)) for t in texts], dtype=np.int64)
 
 
-def text_hash(word: bytes, lower: bool = True) -> int:
-    """The hash that Words gives one word."""
-    return int(Words([word], lower=lower).hashes()[0])
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null: empty."""
     return [x or b"" for x in column.cast(pa.binary() if column.type != pa.large_string() else pa.large_binary()).to_pylist()]
