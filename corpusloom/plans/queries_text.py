@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.terms import plain_tokens, terms_of
+from corpusloom.functions.terms import plain_tokens, term_counts
 from corpusloom.operators import manifest as M
 from corpusloom.plans import corpus as K
 from corpusloom.plans import sql
@@ -88,8 +88,7 @@ def prettify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("txt_terms")
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = K.table(spark, sf_dir, "documents").select(F.explode(terms_of("text")).alias("t"))
-    return rows.groupBy("t.term").agg(F.count(F.lit(1)).alias("n"))
+    return term_counts(K.texts(spark, sf_dir))
 
 
 @query("txt_plain_tokens", "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY token")
