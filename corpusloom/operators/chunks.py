@@ -43,28 +43,36 @@ def is_pipe_table(text: Column) -> Column:
 
 
 def row_pieces(text: Column, most: int = MOST) -> Column:
-    """A pipe table cut between rows: each piece has the header, its rule, the last row of the piece before, and one new row or more."""
-    lines = F.split(text, "\n", -1)
-    header = F.concat(F.get(lines, F.lit(0)), F.lit("\n"), F.get(lines, F.lit(1)))
-    none = F.array().cast("array<string>")
+    """A pipe table cut between rows: each piece has the header, its rule, the last row of the piece before, and one new row or more.
+
+    Rows are places in the list of lines, pieces places in the list of rows: the fold adds lengths, and each text is joined once.
+    """
+    spans = lambda opens, n: F.zip_with(opens, F.concat(F.slice(opens, F.lit(2), F.size(opens)), F.array(n)), lambda a, z: F.struct(a.alias("a"), z.alias("z")))
 
-    def gather(rows: Column, line: Column) -> Column:
+    def rows_of(lines: Column) -> Column:
         """A line that begins with no pipe continues the row before it."""
-        follows = (F.size(rows) > 0) & ~F.ltrim(line).startswith("|")
-        return F.when(follows, F.concat(F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))), F.array(F.concat(F.element_at(rows, F.greatest(F.size(rows), F.lit(1))), F.lit("\n"), line)))).otherwise(F.concat(rows, F.array(line)))
+        opens = F.filter(F.sequence(F.lit(2), F.greatest(F.size(lines) - 1, F.lit(2))), lambda i: (i < F.size(lines)) & ((i == 2) | F.ltrim(F.get(lines, i)).startswith("|")))
+        return F.transform(T.bound(opens, lambda o: spans(o, F.size(lines))), lambda x: F.array_join(F.slice(lines, x["a"] + 1, x["z"] - x["a"]), "\n"))
 
-    rows = F.aggregate(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), none, lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(gather(a, x)))
-    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("now"), F.lit("").alias("before"))
+    def cut(header: Column, rows: Column) -> Column:
+        start = F.struct(F.lit(None).cast("int").alias("chars"), F.lit(0).alias("before"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("opens"))
 
-    def step(s: Column, row: Column) -> Column:
-        longer = F.concat(s["now"], F.lit("\n"), row)
-        return (
-            F.when(s["now"].isNull(), F.struct(s["done"].alias("done"), F.concat(header, F.lit("\n"), row).alias("now"), row.alias("before")))
-            .when(F.length(longer) <= most, F.struct(s["done"].alias("done"), longer.alias("now"), row.alias("before")))
-            .otherwise(F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), F.concat(header, F.lit("\n"), s["before"], F.lit("\n"), row).alias("now"), row.alias("before")))
-        )
+        def step(s: Column, row: Column) -> Column:
+            n, h = F.length(row), F.length(header)
+            longer, opens = s["chars"] + 1 + n, F.concat(s["opens"], F.array(s["i"]))
+            fits = longer <= most
+            chars = F.when(s["chars"].isNull(), h + 1 + n).when(fits, longer).otherwise(h + 2 + s["before"] + n)
+            return F.struct(chars.alias("chars"), n.alias("before"), (s["i"] + 1).alias("i"), F.when(F.coalesce(fits, F.lit(False)), s["opens"]).otherwise(opens).alias("opens"))
+
+        first = lambda x: F.greatest(x["a"] - 1, F.lit(0))  # noqa: E731  the row before comes again
+        opens = F.aggregate(rows, start, step, lambda s: s["opens"])
+        return F.transform(T.bound(opens, lambda o: spans(o, F.size(rows))), lambda x: F.concat(header, F.lit("\n"), F.array_join(F.slice(rows, first(x) + 1, x["z"] - first(x)), "\n")))
+
+    def whole(lines: Column) -> Column:
+        header = F.concat(F.get(lines, F.lit(0)), F.lit("\n"), F.get(lines, F.lit(1)))
+        return T.bound(rows_of(lines), lambda rows: T.bound(header, lambda h: F.when(F.size(rows) == 0, F.array(F.lit(None).cast("string"))).otherwise(cut(h, rows))))
 
-    return F.aggregate(rows, start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+    return T.bound(F.split(text, "\n", -1), whole)
 
 
 def pieces(blocks: DataFrame, most: int = MOST) -> DataFrame:
@@ -145,7 +153,7 @@ def build_chunks(blocks: DataFrame, target: int = TARGET, most: int = MOST, fold
     long = sized.where(F.col("n_all") > fold)
     numbers = long.select(*key, "ordinal", "piece", "role", "first", "last", "glued", "kind", "size").groupBy(*key).applyInPandas(_walked(target), "slug string, section_index int, ordinal int, piece int, cid int")
     long = long.select(*key, "ordinal", "piece", "page", "text").join(numbers, [*key, "ordinal", "piece"]).select(*short.columns)
-    every = short.unionByName(long)
+    every = short.unionByName(long).repartition("slug")  # one shuffle for the texts and their numbers
     chunks = every.groupBy(*key, "cid").agg(
         F.min("ordinal").alias("block_first"), F.max("ordinal").alias("block_last"), F.min("page").alias("page_first"), F.max("page").alias("page_last"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "piece", "text"))), lambda x: x["text"]), "\n\n").alias("text"),
