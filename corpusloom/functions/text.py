@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ FRONT_FIELDS = ("title", "source_file", "source_format", "source_url", "doc_date
 WS = r"[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def stripped(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
@@ -94,11 +101,14 @@ def fitted(cells: Column, width: Column) -> Column:
 
 
 def rendered_table(rows: Column) -> Column:
-    """A pipe table of rows (array of arrays of strings), the first one its header."""
-    header = F.element_at(rows, 1)
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(header)), " | "), F.lit(" |"))
-    body = F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda r: table_row(fitted(r, F.size(header))))
-    return F.array_join(F.concat(F.array(table_row(header), rule), body), "\n")
+    """A pipe table of rows (array of arrays of strings), the first one its header. Rows and width are computed once, not for each row."""
+
+    def table(rows: Column, width: Column) -> Column:
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        body = F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda r: table_row(fitted(r, width)))
+        return F.array_join(F.concat(F.array(table_row(F.element_at(rows, 1)), rule), body), "\n")
+
+    return bound(rows, lambda rows: bound(F.size(F.element_at(rows, 1)), lambda width: table(rows, width)))
 
 
 def table_guard(columns: Column, data_rows: Column, most_rows: int = 300, most_columns: int = 15) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.terms import STOP_WORDS, stem, terms_of
+from corpusloom.functions.terms import STOP_WORDS, stem, term_positions
 
 #: Candidates of each leg, the constant of rank fusion, the range of k. Fixed values.
 LEG_LIMIT, RRF_K, LEAST_K, MOST_K = 20, 60, 1, 25
@@ -50,9 +50,11 @@ def parse_query(query: str) -> list[Clause]:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, slug, chunk_index, section_index, page_first, positions: the inverted index, made once and kept by term."""
-    rows = chunks.select("slug", "chunk_index", "section_index", "page_first", F.explode(terms_of("text")).alias("t"))
-    return rows.groupBy(F.col("t.term").alias("term"), "slug", "chunk_index", "section_index", "page_first").agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
+    """term, slug, chunk_index, section_index, page_first, positions: the inverted index, made where the chunks are.
+
+    It comes in segments, each in the order of its terms, so that a reader of the stored table skips the pages of other terms.
+    """
+    return term_positions(chunks.select("slug", "chunk_index", "section_index", "page_first", "text"))
 
 
 def _in_a_row(words: list[str]) -> Column:
@@ -114,11 +116,10 @@ def vector_leg(chunks: DataFrame, vector: list[float], limit: int = LEG_LIMIT) -
 
 
 def hash_vector(text: Column, dim: int = 8) -> Column:
-    """A unit vector from the text's SHA-256, the same in SQL: numbers of four hexadecimal digits, centred."""
-    digest = F.sha2(text, 256)
-    raw = [F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("double") - 32767.5 for i in range(dim)]
-    norm = F.sqrt(reduce(lambda a, b: a + b, [v * v for v in raw]))
-    return F.array(*(v / norm for v in raw))
+    """A unit vector from the text's SHA-256, the same in SQL: numbers of four hexadecimal digits, centred. Digest and norm are computed once."""
+    raw = lambda digest: F.array(*(F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("double") - 32767.5 for i in range(dim)))
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0).cast("double"), lambda s, v: s + v * v))
+    return T.bound(F.sha2(text, 256), lambda digest: T.bound(raw(digest), lambda r: T.bound(norm(r), lambda n: F.transform(r, lambda v: v / n))))
 
 
 # --- fusion ---------------------------------------------------------------------------------
