@@ -42,17 +42,16 @@ def list_documents(kb: dict[str, DataFrame], text_class: str | None = None, titl
 
 
 def section_chars(kb: dict[str, DataFrame]) -> DataFrame:
-    """slug, section_index, chars: the length of each section's joined text. Blocks meet their section by slug, then by range."""
-    s = kb["sections"].select("slug", "section_index", "block_first", "block_last")
+    """slug, section_index, chars: the length of each section's joined text. A section names its blocks, which are met by slug and number."""
+    s = kb["sections"].select("slug", "section_index", F.explode_outer(F.sequence("block_first", "block_last")).alias("ordinal"))
     b = kb["blocks"].select("slug", "ordinal", F.length("text").alias("n"))
-    rows = s.join(b, "slug", "left").withColumn("inside", F.col("ordinal").between(F.col("block_first"), F.col("block_last")))
-    sums = rows.groupBy("slug", "section_index").agg(F.sum(F.when(F.col("inside"), F.col("n") + 2)).alias("n"))
+    sums = s.join(b, ["slug", "ordinal"], "left").groupBy("slug", "section_index").agg(F.sum(F.col("n") + 2).alias("n"))
     return sums.select("slug", "section_index", F.greatest(F.coalesce(F.col("n") - 2, F.lit(0)), F.lit(0)).cast("long").alias("chars"))
 
 
 def outline(kb: dict[str, DataFrame], slug: str | None = None) -> DataFrame:
     """id, slug, section_index, level, heading, page_first, page_last, chars, of one document or all, in order."""
-    one = {k: v.where(F.col("slug") == slug) if slug else v for k, v in kb.items() if k in ("sections", "blocks")}
+    one = {k: kb[k].where(F.col("slug") == slug) if slug else kb[k] for k in ("sections", "blocks")}
     rows = one["sections"].join(section_chars(one), ["slug", "section_index"])
     return rows.select(T.section_key(F.col("slug"), F.col("section_index")).alias("id"), "slug", "section_index", "level", "heading", "page_first", "page_last", "chars").orderBy("slug", "section_index")
 
@@ -144,8 +143,7 @@ def fetch(kb: dict[str, DataFrame], key: str, neighbours: int = 0, most_chars: i
         raise ValueError(f"unknown id: {key}")
     size = F.lit(doc["chars"]) if kind == "doc" else F.length("text")
     row = row.withColumn("truncated", size > most_chars)
-    chunks = kb["chunks"].where(F.col("slug") == slug).select("chunk_index", "block_first", "block_last", "text")
-    row = row.withColumn("text", F.when(F.col("truncated"), _breakdown(kb, slug, kind, chunks, row, most_chars)).otherwise(F.col("text"))) if row.first()["truncated"] else row
+    row = row.withColumn("text", F.when(F.col("truncated"), _breakdown(kb, slug, kind, row, most_chars)).otherwise(F.col("text"))) if row.first()["truncated"] else row
     cited = T.citation(F.lit(doc["title"]), F.lit(path), F.lit(doc["source_file"]), F.lit(doc["source_format"]), F.col("page_first"), F.col("page_last"), F.lit(doc["doc_date"]), F.col("first_block"), F.col("last_block"))
     return row.select(
         F.lit(key).alias("id"), F.lit(kind).alias("kind"), F.lit(slug).alias("slug"), F.lit(title).alias("title"), "text", "page_first", "page_last", "first_block", "last_block",
@@ -160,7 +158,7 @@ def signposts(chunks: DataFrame, most: int = SIGNPOSTS) -> DataFrame:
     return rows.where("nth % step = 0").select("slug", "chunk_index", T.landmark(F.col("text")).alias("landmark"))
 
 
-def _breakdown(kb, slug: str, kind: str, chunks: DataFrame, row: DataFrame, most_chars: int) -> Column:
+def _breakdown(kb, slug: str, kind: str, row: DataFrame, most_chars: int) -> Column:
     """What stands for a text that is too long: a bounded listing, made of at most a dozen lines or a bounded outline."""
     lead = f"too large to fetch: over {most_chars} characters; fetch a smaller unit"
     if kind == "doc":
@@ -170,6 +168,7 @@ def _breakdown(kb, slug: str, kind: str, chunks: DataFrame, row: DataFrame, most
     if kind == "chunk":
         return F.lit(lead + "\nNothing smaller is indexed for this id.")
     span = row.select("lo", "hi").first()
+    chunks = kb["chunks"].where(F.col("slug") == slug).select("chunk_index", "block_first", "block_last", "text")
     inside = overlapping(chunks, span["lo"], span["hi"]).withColumn("slug", F.lit(slug))
     marks = signposts(inside).orderBy("chunk_index").collect()  # a dozen rows
     ends = inside.agg(F.min("chunk_index"), F.max("chunk_index")).first()

@@ -62,7 +62,7 @@ a AS (SELECT slug, 0 AS ordinal, 'table' AS kind, NULL::INT AS level, body AS te
 SELECT slug, ordinal, slug || ':p000:b' || lpad((ordinal + 1)::VARCHAR, greatest(CASE WHEN count(*) OVER (PARTITION BY slug) >= 1000 THEN 4 ELSE 3 END, length((ordinal + 1)::VARCHAR))::INT, '0') AS block_id, kind, level, sha256(text) AS text FROM a
 """)
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = K.table(spark, sf_dir, "documents")
+    d = K.texts(spark, sf_dir)
     tabled = F.concat(F.lit("| "), F.replace("text", F.lit("\n"), F.lit("\n| ")))
     headed = F.concat(F.lit("# Head\n"), F.replace("text", F.lit(". "), F.lit(".\n## Part\n")))
     bodies = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.when(F.col("doc_id") % 4 == 0, tabled).otherwise(headed).alias("body"))
@@ -307,22 +307,22 @@ _ONE = "doc-8"
 
 @query("api2_fetch_section", W + sql.SECTIONS + f" SELECT 'sec:{_ONE}:0' AS id, string_agg(b.text, chr(10) || chr(10) ORDER BY b.ordinal) AS text, min(page) AS page_first, max(page) AS page_last FROM sections s JOIN blocks b ON b.slug = s.slug AND b.ordinal BETWEEN s.block_first AND s.block_last WHERE s.slug = '{_ONE}' AND s.section_index <= 1")
 def fetch_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.get_section(_kb(spark, sf_dir), f"sec:{_ONE}:0", neighbours=1).select("id", "text", "page_first", "page_last")
+    return L.get_section(K.kb(spark, sf_dir), f"sec:{_ONE}:0", neighbours=1).select("id", "text", "page_first", "page_last")
 
 
 @query("fil4_fetch_page", W + sql.BLOCKS + f" SELECT 'page:{_ONE}:p001' AS id, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text, arg_min(block_id, ordinal) AS first_block, arg_max(block_id, ordinal) AS last_block FROM blocks WHERE slug = '{_ONE}' AND page = 1")
 def fetch_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.fetch(_kb(spark, sf_dir), f"page:{_ONE}:p001").select("id", "text", "first_block", "last_block")
+    return L.fetch(K.kb(spark, sf_dir), f"page:{_ONE}:p001").select("id", "text", "first_block", "last_block")
 
 
 @query("api2_fetch_chunk", W.replace("WITH", "WITH RECURSIVE") + sql.CHUNKS + f" SELECT 'chunk:{_ONE}:0' AS id, text, length(text) AS chars FROM chunks WHERE slug = '{_ONE}' AND chunk_index = 0")
 def fetch_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.fetch(_kb(spark, sf_dir), f"chunk:{_ONE}:0").select("id", "text", "chars")
+    return L.fetch(K.kb(spark, sf_dir), f"chunk:{_ONE}:0").select("id", "text", "chars")
 
 
 @query("api6_bounded_reply")
 def bounded_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kb = _kb(spark, sf_dir)
+    kb = K.kb(spark, sf_dir)  # of one document: nothing is made of the others
     return L.fetch(kb, f"sec:{_ONE}:0", most_chars=50).unionByName(L.fetch(kb, f"doc:{_ONE}", most_chars=200)).select("id", "kind", "chars", "truncated", "text")
 
 
